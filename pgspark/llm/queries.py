@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pgspark.llm import pii, secrets
+from pgspark.llm import bpe, pii, secrets, simhash, substrings
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op4_secret_scans": secrets.op4_secret_scans,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_bpe": bpe.op7_bpe,
 }
 #: The other operators cannot be written in SQL and are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substrings.OP2_SQL}
