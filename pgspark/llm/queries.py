@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pgspark.llm import bpe, pii, secrets, simhash, substrings
+from pgspark.llm import bpe, decontaminate, pii, quality, secrets, simhash, substrings
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_secret_scans": secrets.op4_secret_scans,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_bpe": bpe.op7_bpe,
+    "op9_quality_rules": quality.op9_quality_rules,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 #: The other operators cannot be written in SQL and are tested against brute force.
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substrings.OP2_SQL}
