@@ -74,7 +74,7 @@ class _Chunk:
     """Some whole documents: their words, word hashes and the document of each word."""
 
     def __init__(self, ids: list, words: list[list[bytes]], more: list, hashed: _WordHash):
-        self.ids, self.words, self.more = ids, words, more
+        self.ids, self.words, self.codes = ids, words, more
         lengths = np.array([len(w) for w in words], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(lengths)])
         self.hashes = np.fromiter((hashed[w] for ws in words for w in ws), np.uint64, int(self.starts[-1]))
@@ -93,15 +93,20 @@ class _Chunk:
         return np.array([x or 0 for x in self.ids], np.int64)[self.of[at]]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Iterator[_Chunk]:
+def _chunks(batches: Iterator[pa.RecordBatch], codes: bool = False, marked_only: bool = False) -> Iterator[_Chunk]:
+    """Chunks of (doc_id, text) rows, with each document's codes; ``marked_only`` passes over documents without codes."""
     hashed = _WordHash()
     ids, words, more, n = [], [], [], 0
     for batch in batches:
+        values, offsets = (batch["codes"].values.to_numpy().view(np.uint64), batch["codes"].offsets.to_numpy()) if codes else (None, None)
         for i, (doc, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"])):
+            own = values[offsets[i] : offsets[i + 1]] if codes else ()
+            if marked_only and not len(own):
+                continue
             ws = (text.as_py() or "").encode().split()  # bytes split at exactly the six ASCII characters
             ids.append(doc)
             words.append(ws)
-            more.append(batch[extra][i].as_py() if extra else None)
+            more.append(own)
             n += len(ws)
             if n >= CHUNK_WORDS:
                 yield _Chunk(ids, words, more, hashed)
@@ -168,26 +173,10 @@ def _buckets(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[in
         yield gathered()
 
 
-def _by_doc(docs: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
-    """(doc_id, codes): packed answers, one row for each document."""
-    d, c = np.concatenate(docs), np.concatenate(codes)
-    order = np.argsort(d, kind="stable")
-    d, c = d[order], c[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]]) if len(d) else np.zeros(1, np.int64)
-    return pa.record_batch([pa.array(d[cuts[:-1]], pa.int64()), pa.array([c[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["doc_id", "codes"])
-
-
 def _answers(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    docs, codes, n = [], [], 0
-    for d, c in found:
-        docs.append(d)
-        codes.append(c)
-        n += len(d)
-        if n >= CHUNK_WORDS:
-            yield _by_doc(docs, codes)
-            docs, codes, n = [], [], 0
-    if n:
-        yield _by_doc(docs, codes)
+    for docs, codes in found:
+        if len(docs):
+            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(codes.view(np.int64), pa.int64())], names=["doc_id", "code"])
 
 
 def _code(buckets: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -200,7 +189,7 @@ def _shuffled(packed: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, bits: int, block: int) -> DataFrame:
-    """(doc_id, codes): for every document the windows that hit another's reference block, or its blocks that were hit.
+    """(doc_id, code): for every document the windows that hit another's reference block, or its blocks that were hit.
 
     The document with the smaller id is the reference. Codes hold the bucket
     and 32 bits of the hash, 32 + ``bits`` in all; the exact comparison follows.
@@ -238,7 +227,7 @@ def anchors(docs: DataFrame, bits: int, block: int) -> DataFrame:
 
         yield from _answers(found())
 
-    return _shuffled(docs.mapInArrow(send, PACKED)).mapInArrow(meet, "doc_id long, codes binary")
+    return _shuffled(docs.mapInArrow(send, PACKED)).mapInArrow(meet, "doc_id long, code long")
 
 
 def _covered(marks: np.ndarray, size: int) -> np.ndarray:
@@ -251,26 +240,22 @@ def _covered(marks: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(ends[:n]) > 0
 
 
-def _codes_of(chunk: _Chunk, i: int) -> np.ndarray:
-    return np.frombuffer(b"".join(chunk.more[i] or []), np.uint64)
-
-
 def repeats(marked: DataFrame, bits: int, window: int, block: int) -> DataFrame:
-    """(doc_id, codes): first hashes of the windows that also start in a document with a smaller id.
+    """(doc_id, code): first hashes of the windows that also start in a document with a smaller id.
 
     Only windows that hold an anchor travel; the others cannot be repeats.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_block, first, second = _Rolling(MULTIPLIERS[0]), _Rolling(MULTIPLIERS[0]), _Rolling(MULTIPLIERS[1])
-        for chunk in _chunks(batches, "codes"):
+        for chunk in _chunks(batches, codes=True, marked_only=True):
             h = by_block(chunk.hashes, block)
             code = _code(h >> np.uint64(64 - bits), h & np.uint64(0xFFFFFFFF))
             near = np.zeros(len(chunk.of) + 1, bool)
             for i in range(len(chunk.ids)):
-                if chunk.more[i]:
+                if len(chunk.codes[i]):
                     a, b = chunk.starts[i], max(chunk.starts[i], chunk.starts[i + 1] - block + 1)
-                    hit = np.isin(code[a:b], _codes_of(chunk, i))
+                    hit = np.isin(code[a:b], chunk.codes[i])
                     # A window starting at q holds the anchor at p for p - (window - block) <= q <= p.
                     near[a:b] = _covered(hit[::-1], window - block + 1)[::-1]
             at = chunk.positions(window)
@@ -289,11 +274,12 @@ def repeats(marked: DataFrame, bits: int, window: int, block: int) -> DataFrame:
 
         yield from _answers(found())
 
-    return _shuffled(marked.mapInArrow(send, PACKED)).mapInArrow(meet, "doc_id long, codes binary")
+    return _shuffled(marked.mapInArrow(send, PACKED)).mapInArrow(meet, "doc_id long, code long")
 
 
 def _with_codes(docs: DataFrame, codes: DataFrame) -> DataFrame:
-    gathered = codes.groupBy("doc_id").agg(F.collect_list("codes").alias("codes"))
+    """The same left join for both rounds, so that Spark shuffles the texts once and reuses them."""
+    gathered = codes.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
     return docs.join(gathered, "doc_id", "left").select("doc_id", "text", "codes")
 
 
@@ -308,19 +294,19 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, block: int | None = None
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(LEAST_BUCKETS, chars // CHARS_PER_BUCKET).bit_length()
     marked = _with_codes(docs, anchors(docs, bits, block))
-    judged = _with_codes(docs, repeats(marked.where("codes IS NOT NULL"), bits, window, block))
+    judged = _with_codes(docs, repeats(marked, bits, window, block))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = _Rolling(MULTIPLIERS[0])
-        for chunk in _chunks(batches, "codes"):
+        for chunk in _chunks(batches, codes=True):
             h = first(chunk.hashes, window)
             spans, kept = [], []
             for i, words in enumerate(chunk.words):
                 drop = np.zeros(len(words), bool)
-                if chunk.more[i] and len(words) >= window:
+                if len(chunk.codes[i]) and len(words) >= window:
                     a = chunk.starts[i]
                     marks = np.zeros(len(words), bool)
-                    marks[: len(words) - window + 1] = np.isin(h[a : a + len(words) - window + 1], _codes_of(chunk, i))
+                    marks[: len(words) - window + 1] = np.isin(h[a : a + len(words) - window + 1], chunk.codes[i])
                     drop = _covered(marks, window)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], drop.astype(np.int8), [0]])))
                 spans.append(edge.tolist())
