@@ -40,24 +40,52 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def native_spans(text: Column, pattern: str, kind: str, order: int, prefilter: Column | None = None) -> Column:
-    """All leftmost non-overlapping matches of ``pattern`` as an array of SPAN.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; a lambda would compute an outer expression for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Offsets are summed within runs of so many matches, and over whole runs, so that a text full of matches costs little more than its length.
+RUN = 128
+
+
+def placed(found: Column, gaps: Column, span) -> Column:
+    """An array of ``span(start, end, match)`` of all matches.
 
     The pieces between the matches (``split``) and the matches themselves
     (``regexp_extract_all``) alternate, so their lengths add up to the offsets.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("m"))
-    start = F.struct(F.lit(0).alias("pos"), F.lit(None).cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        one = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(F.coalesce(acc["out"], F.array().cast(f"array<{SPAN}>")), F.array(one)).alias("out"))
-
-    spans = F.coalesce(F.aggregate(pairs, start, step)["out"], F.array().cast(f"array<{SPAN}>"))
+
+    def lengths(a: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(a["g"], F.lit(1), F.size(a["m"])).alias("g"), a["m"].alias("m"))
+        return F.struct(F.transform(pairs, lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("n"), x["m"].alias("v"))).alias("p"))
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda acc, x: acc + x["g"] + x["n"])
+
+    def runs(b: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(b["p"]) - 1, F.lit(0)), F.lit(RUN))
+        sums = F.aggregate(starts, F.array(F.lit(0)), lambda acc, i: F.concat(acc, F.array(F.try_element_at(acc, F.lit(-1)) + total(F.slice(b["p"], i + 1, F.lit(RUN))))))
+        return F.struct(b["p"].alias("p"), sums.alias("s"))
+
+    def spans(c: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            within = i % RUN
+            start = F.get(c["s"], ((i - within) / RUN).cast("int")) + total(F.slice(c["p"], i - within + 1, within)) + x["g"]
+            return span(start, start + x["n"], x["v"])
+
+        return F.transform(c["p"], one)
+
+    return _let(F.struct(found.alias("m"), gaps.alias("g")), lambda a: _let(lengths(a), lambda b: _let(runs(b), spans)))
+
+
+def native_spans(text: Column, pattern: str, kind: str, order: int, prefilter: Column | None = None) -> Column:
+    """All leftmost non-overlapping matches of ``pattern`` as an array of SPAN."""
+
+    def span(start: Column, end: Column, value: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
+
+    spans = placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), span)
     if prefilter is None:
         return spans
     return F.when(prefilter, spans).otherwise(F.array().cast(f"array<{SPAN}>"))

@@ -10,7 +10,7 @@ piece lies in a pair of pieces with at most one edit, in a four with at most
 three, and so on up to the whole item, so chance hits end after a few characters.
 
 The benchmark is a stated query set: it is taken in blocks of at most
-``block_chars`` characters, each one pass over all documents, so what a task
+``block_chars`` characters (or one longer item), each one pass over all documents, so what a task
 holds is bounded at any size of the benchmark.
 
 Defined results: null and empty texts match nothing; items shorter than
@@ -161,9 +161,9 @@ def item_blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> Itera
     block, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         text = normal(row["text"])
-        if len(text) < min_chars or len(text) > block_chars:
+        if len(text) < min_chars:
             continue
-        if size + len(text) > block_chars:
+        if block and size + len(text) > block_chars:
             yield block
             block, size = [], 0
         block.append((row["item_id"], text))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pgspark.llm.common import SPAN, masked, materialise, native_spans, span_list
+from pgspark.llm.common import SPAN, masked, materialise, native_spans, placed, span_list
 
 #: The kinds in their listed order, and the kinds the method adds.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -120,16 +120,12 @@ def term_spans(docs: DataFrame, base: DataFrame, disclosing: DataFrame) -> DataF
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), listed, F.lit(r")(?![\p{L}\p{N}])"))
     both = both.withColumn("pattern", pattern).withColumn("found", F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).withColumn("gaps", F.split("text", F.col("pattern"), -1))
     action = F.map_from_entries("terms")
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        one = F.struct(begin.alias("start"), F.lit(len(BASE_KINDS)).alias("ord"), end.alias("end"), F.coalesce(F.try_element_at(action, F.lower(x["m"])), F.lit(GENERAL)).alias("kind"), x["m"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def span(start: Column, end: Column, value: Column) -> Column:
+        kind = F.coalesce(F.try_element_at(action, F.lower(value)), F.lit(GENERAL))
+        return F.struct(start.alias("start"), F.lit(len(BASE_KINDS)).alias("ord"), end.alias("end"), kind.alias("kind"), value.alias("value"))
 
-    zipped = F.arrays_zip(F.slice("gaps", F.lit(1), F.size("found")).alias("g"), F.col("found").alias("m"))
-    return both.select("doc_id", F.xxhash64("text").alias("text_key"), F.aggregate(zipped, start, step)["out"].alias("more")).dropDuplicates(["doc_id", "text_key"])
+    return both.select("doc_id", F.xxhash64("text").alias("text_key"), placed(F.col("found"), F.col("gaps"), span).alias("more")).dropDuplicates(["doc_id", "text_key"])
 
 
 def find(docs: DataFrame, **thresholds: float) -> DataFrame:
@@ -149,10 +145,10 @@ def find(docs: DataFrame, **thresholds: float) -> DataFrame:
 
 def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind; removed terms are cut out."""
-    found = find(docs, **thresholds).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("_id"), "text_key", "spans")
-    joined = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("text_key")), "left")
-    new = F.replace(masked(F.col("text"), F.col("spans")), F.lit(f"[{REMOVED.upper()}]"), F.lit(""))
-    return joined.select(*[new.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    found = find(docs, **thresholds).dropDuplicates(["doc_id", "text_key"])
+    same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["text_key"])
+    new = F.replace(masked(docs["text"], found["spans"]), F.lit(f"[{REMOVED.upper()}]"), F.lit(""))
+    return docs.join(found, same, "left").select(*[new.alias(c) if c == "text" else docs[c] for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
