@@ -11,8 +11,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pgspark.functions import spatial, vector
+from pgspark.operators import paths
 
 #: Unicode white space.
 _WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -87,7 +89,7 @@ def to_boolean(x: Column) -> Column:
     return F.when(s == "true", True).when(s == "false", False).when(number.isNotNull(), number != 0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normal(s: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else unicodedata.normalize(f, x) for x, f in zip(s, form)])
 
@@ -221,6 +223,42 @@ def date_plus(day: Column, nanos: Column) -> Column:
     return F.date_add(day, F.floor(nanos / F.lit(86_400_000_000_000)).cast("int"))
 
 
+def duration(text: Column) -> Column:
+    """Nanoseconds of an ISO-8601 day-time duration or of a form like ``1h30m``; null for other texts."""
+    s = F.lower(F.trim(text))
+    iso = r"^-?p(?:[0-9.]+w)?(?:[0-9.]+d)?(?:t(?:[0-9.]+h)?(?:[0-9.]+m)?(?:[0-9.]+s)?)?$"
+    short = r"^-?(?:[0-9.]+(?:w|d|h|ms|m|s|us|ns))+$"
+    units = {"w": 604_800e9, "d": 86_400e9, "h": 3_600e9, "m": 60e9, "s": 1e9, "ms": 1e6, "us": 1e3, "ns": 1.0}
+    total = F.lit(0.0)
+    for unit, nanos in units.items():
+        after = "(?![a-z])" if len(unit) > 1 else "(?!s)" if unit == "m" else ""
+        total = total + F.coalesce(F.nullif(F.regexp_extract(s, rf"([0-9.]+){unit}{after}", 1), F.lit("")).try_cast("double"), F.lit(0.0)) * nanos
+    signed = F.when(F.startswith(s, F.lit("-")), -total).otherwise(total)
+    return F.when(s.rlike(iso) | s.rlike(short), F.round(signed).cast("long"))
+
+
+def time_of_day(text: Column) -> Column:
+    """Nanoseconds of the day of ``hh:mm[:ss[.fraction]]``; the TIME type is off by default in Spark."""
+    part = lambda i: F.regexp_extract(text, r"^([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}(?:\.[0-9]+)?))?$", i)
+    seconds = part(1).try_cast("double") * 3600 + part(2).try_cast("double") * 60 + F.coalesce(part(3).try_cast("double"), F.lit(0.0))
+    return F.round(seconds * 1e9).cast("long")
+
+
+def current_time() -> Column:
+    """Nanoseconds of the current day, UTC session time."""
+    now = F.current_timestamp()
+    return (F.unix_micros(now) - F.unix_micros(F.date_trunc("day", now))) * 1000
+
+
+def zoned_time(text: Column) -> Column:
+    """``struct<time, offset_s>``, ``time`` in nanoseconds of the day, of a time with an offset such as ``+02:00`` or ``Z``."""
+    part = lambda i: F.regexp_extract(text, r"^([0-9:.]+)(Z|[+-][0-9]{2}:?[0-9]{2})$", i)
+    zone = part(2)
+    seconds = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.right(zone, F.lit(2)).try_cast("int") * 60
+    offset = F.when(zone == "Z", 0).when(F.startswith(zone, F.lit("-")), -seconds).otherwise(seconds)
+    return F.when(zone != "", F.struct(time_of_day(part(1)).alias("time"), offset.alias("offset_s")))
+
+
 FUNCTIONS = {
     # text
     "coalesce": F.coalesce, "char_length": F.char_length, "character_length": F.char_length, "upper": F.upper, "toupper": F.upper, "lower": F.lower, "tolower": F.lower,
@@ -238,8 +276,12 @@ FUNCTIONS = {
     "list_contains": F.array_contains, "list_slice": list_slice, "list_append": F.array_append, "list_prepend": F.array_prepend, "list_reverse": F.reverse, "list_sort": list_sort,
     "any": F.exists, "all": F.forall, "none": lambda xs, f: ~F.exists(xs, f), "single": single, "reduce": F.aggregate, "filter": F.filter, "transform": F.transform, "all_different": all_different, "same": same,
     # time
-    "now": F.now, "current_timestamp": F.current_timestamp, "current_date": F.current_date, "current_time": F.current_time, "local_time": F.current_time, "local_datetime": F.localtimestamp, "local_timestamp": F.localtimestamp,
-    "date": F.to_date, "time": F.to_time, "zoned_datetime": F.to_timestamp, "datetime": F.to_timestamp, "extract": extract, "date_add": date_add_nanos, "date_sub": date_sub_nanos, "timestamp_to_string": timestamp_to_string, "duration_between": duration_between,
+    "now": F.now, "current_timestamp": F.current_timestamp, "current_date": F.current_date, "current_time": current_time, "local_time": current_time, "local_datetime": F.localtimestamp, "local_timestamp": F.localtimestamp,
+    "date": F.to_date, "time": time_of_day, "zoned_datetime": F.to_timestamp, "datetime": F.to_timestamp, "extract": extract, "date_add": date_add_nanos, "date_sub": date_sub_nanos, "timestamp_to_string": timestamp_to_string, "duration_between": duration_between,
+    "duration": duration, "zoned_time": zoned_time,
+    # paths: structs of node and edge lists
+    "path_length": lambda p: F.size(p["edges"]), "nodes": lambda p: p["nodes"], "edges": lambda p: p["edges"],
+    "is_acyclic": lambda p: paths.is_acyclic(p["nodes"]), "is_trail": lambda p: paths.is_trail(p["edges"]), "is_simple": lambda p: paths.is_simple(p["nodes"]),
     # vectors and shapes
     "cosine_similarity": vector.cosine_similarity, "euclidean_distance": vector.euclidean_distance,
     **spatial.FUNCTIONS,

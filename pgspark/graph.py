@@ -206,6 +206,16 @@ class Bindings:
         counts = rows.groupBy(var).agg(F.count(F.lit(1)).alias("_degree"))
         return self._with(self.df.join(counts, var, "left").withColumn(name, F.coalesce("_degree", F.lit(0))).drop("_degree"))
 
+    def properties(self, var: str) -> Column:
+        """All properties of a variable as a struct."""
+        names = [c for c in self.df.columns if c.startswith(f"{var}__")]
+        return F.struct(*[F.col(c).alias(c[len(var) + 2 :]) for c in names])
+
+    def property_names(self, var: str) -> Column:
+        """The names of the properties that are not null, in the table's order."""
+        names = [c for c in self.df.columns if c.startswith(f"{var}__")]
+        return F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c[len(var) + 2 :])) for c in names]))
+
     def select(self, *columns: Column | str) -> DataFrame:
         return self.df.select(*[prop(c) if isinstance(c, str) else c for c in columns])
 

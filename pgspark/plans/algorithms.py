@@ -265,3 +265,79 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without any edge."""
     ends = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id")))
     return nodes.select("id").join(ends, "id", "left_anti")
+
+
+def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source_id, target_id): undirected edges whose removal disconnects their ends; parallel edges are never bridges.
+
+    Every non-tree edge of a breadth-first forest gets 64 pseudo-random bits. A
+    tree edge's bits are the exclusive or of all that touch the subtree below it,
+    summed level by level; they are zero exactly if no non-tree edge leaves the
+    subtree (up to a chance of 2^-64 for each edge).
+    """
+    pairs = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    pairs = materialise(pairs, "bridge-pairs")
+    both = materialise(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(pairs.select("b", "a")), "bridge-both")
+    roots = wcc(nodes, edges).where("node_id = component_id").select(F.col("node_id").alias("v"))
+    frontier = materialise(roots.select("v", F.lit(None).cast("long").alias("p"), F.lit(0).alias("d")), "bridge-tree")
+    tree, depth = frontier, 0
+    while True:
+        depth += 1
+        next_ = both.join(frontier.select(F.col("v").alias("x")), "x").groupBy("y").agg(F.min("x").alias("p")).select(F.col("y").alias("v"), "p", F.lit(depth).alias("d"))
+        frontier = materialise(next_.join(tree.select("v"), "v", "left_anti"), "bridge-tree")
+        if frontier.isEmpty():
+            break
+        tree = tree.unionAll(frontier)
+    tree = materialise(tree, "bridge-tree")
+    in_tree = tree.where("p IS NOT NULL").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b"), F.lit(True).alias("t"))
+    # A second parallel edge of a tree edge is a non-tree edge.
+    rest = pairs.join(in_tree, ["a", "b"], "left").where("t IS NULL OR k > 1").select("a", "b", F.xxhash64("a", "b", F.lit("bridge")).alias("r"))
+    own = rest.select(F.col("a").alias("v"), "r").unionAll(rest.select("b", "r")).groupBy("v").agg(F.bit_xor("r").alias("r"))
+    level = materialise(tree.join(own, "v", "left").select("v", "p", "d", F.coalesce("r", F.lit(0).cast("long")).alias("r")), "bridge-own")
+    below, found = None, None
+    for d in range(depth - 1, 0, -1):
+        now = level.where(F.col("d") == d)
+        if below is not None:
+            now = now.select("v", "p", "r").unionAll(below.select(F.col("p").alias("v"), F.lit(None).cast("long").alias("p"), "r")).groupBy("v").agg(F.max("p").alias("p"), F.bit_xor("r").alias("r"))
+        below = materialise(now.select("v", "p", "r"), "bridge-up")
+        part = below.where("r = 0").select(F.least("v", "p").alias("source_id"), F.greatest("v", "p").alias("target_id"))
+        found = part if found is None else found.unionAll(part)
+    return found if found is not None else pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")).limit(0)
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """(node_id, community_id, level): one level of modularity moves; level is always 0.
+
+    In each round every node looks at its neighbours' communities and takes the
+    one of greatest gain, in even rounds only towards smaller ids and in odd ones
+    only towards larger, so that two nodes cannot swap for ever.
+    """
+    both = materialise(edges.select("src", "dst").unionAll(edges.select("dst", "src")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")), "louvain-edges")
+    m2 = both.agg(F.sum("w")).first()[0] or 1
+    strength = both.groupBy("src").agg(F.sum("w").alias("k"))
+    state = materialise(nodes.select("id").join(strength, F.col("id") == F.col("src"), "left").select("id", F.col("id").alias("c"), F.coalesce("k", F.lit(0)).alias("k")), "louvain")
+    for i in range(rounds):
+        totals = state.groupBy("c").agg(F.sum("k").alias("tot"))
+        to = both.join(state.select(F.col("id").alias("dst"), "c"), "dst").groupBy("src", "c").agg(F.sum("w").alias("w"))
+        mine = state.select("id", F.col("c").alias("own"), "k")
+        scored = to.join(mine, to["src"] == mine["id"]).join(totals, "c")
+        others = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0))
+        gain = F.col("w") - F.col("k") * others / F.lit(m2)
+        best = scored.groupBy("id").agg(F.max(F.when(F.col("c") == F.col("own"), gain)).alias("stay"), F.max(F.when(F.col("c") != F.col("own"), F.struct(gain.alias("g"), (-F.col("c")).alias("n")))).alias("b"))
+        target = -F.col("b.n")
+        stay = F.coalesce("stay", -F.col("k") * 0.0)
+        better = F.col("b").isNotNull() & (F.col("b.g") > stay + 1e-12) & ((target < F.col("c")) if i % 2 == 0 else (target > F.col("c")))
+        new = materialise(state.join(best, "id", "left").select("id", F.col("c").alias("old"), F.when(better, target).otherwise(F.col("c")).alias("c"), "k"), "louvain")
+        still = new.where("old <> c").isEmpty()
+        state = new.select("id", "c", "k")
+        if still and i % 2 == 1:
+            break
+    return state.select(F.col("id").alias("node_id"), F.col("c").alias("community_id"), F.lit(0).alias("level"))
+
+
+def modularity(communities: DataFrame, edges: DataFrame) -> float:
+    """Modularity of (node_id, community_id) on the undirected edges."""
+    e = edges.where("src <> dst").join(communities.select(F.col("node_id").alias("src"), F.col("community_id").alias("a")), "src").join(communities.select(F.col("node_id").alias("dst"), F.col("community_id").alias("b")), "dst")
+    ends = e.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+    m, inside = e.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("a") == F.col("b")).cast("long")), F.lit(0))).first()
+    return inside / m - (ends.agg(F.sum(F.pow("k", 2))).first()[0] or 0) / (4.0 * m * m) if m else 0.0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pgspark.graph import Graph
@@ -62,6 +62,21 @@ def validate(graph: Graph) -> DataFrame:
     return _union([df.agg(F.count(F.lit(1)).alias("total")).select(F.lit(k).alias("check"), F.when(F.col("total") == 0, "ok").otherwise(severity[k]).alias("status"), "total") for k, df in bad.items()])
 
 
+def procedures(spark: SparkSession) -> DataFrame:
+    """(name, params, summary): the public functions of the plans."""
+    import inspect
+
+    from pgspark.plans import algorithms, search, timeseries
+
+    rows = []
+    for module in (algorithms, search, timeseries):
+        short = module.__name__.rpartition(".")[2]
+        for name, f in inspect.getmembers(module, inspect.isfunction):
+            if f.__module__ == module.__name__ and not name.startswith("_"):
+                rows.append((f"{short}.{name}", list(inspect.signature(f).parameters), (f.__doc__ or "").strip().split("\n")[0]))
+    return spark.createDataFrame(rows, "name string, params array<string>, summary string")
+
+
 # -- schema rules -----------------------------------------------------------------
 
 

@@ -94,3 +94,16 @@ def community_search(hits: DataFrame, communities: DataFrame) -> DataFrame:
     """(node_id, score, community_id, size) of vector hits; ``communities`` is (node_id, community_id)."""
     sizes = communities.groupBy("community_id").agg(F.count(F.lit(1)).alias("size"))
     return hits.join(communities, "node_id", "left").join(sizes, "community_id", "left").select("node_id", "score", "community_id", "size")
+
+
+def with_path(hits: DataFrame, parents: DataFrame, names: DataFrame, hops: int) -> DataFrame:
+    """(node_id, score, path): names from the outermost container down to the hit, joined by " > ".
+
+    ``parents`` is (child, parent), one parent for each child; ``names`` is (id, name).
+    """
+    now = hits.join(names.select(F.col("id").alias("node_id"), F.col("name").alias("path")), "node_id", "left").select("node_id", "score", F.coalesce("path", F.lit("")).alias("path"), F.col("node_id").alias("_at"))
+    for _ in range(hops):
+        up = parents.join(names, parents["parent"] == names["id"]).select(F.col("child").alias("_at"), F.col("parent").alias("_up"), "name")
+        step = now.join(up, "_at", "left")
+        now = step.select("node_id", "score", F.when(F.col("_up").isNotNull(), F.concat("name", F.lit(" > "), "path")).otherwise(F.col("path")).alias("path"), F.coalesce("_up", F.lit(None)).alias("_at"))
+    return now.drop("_at")

@@ -131,6 +131,15 @@ def read_samples(spark: SparkSession, path: str, start: int, end: int) -> DataFr
     return spark.read.parquet(path).where(F.col("day").between(day(start), day(end)) & F.col("timestamp").between(start, end)).drop("day")
 
 
+def compact_samples(spark: SparkSession, path: str, out: str, keep_from: int | None = None) -> None:
+    """Rewrite a folder of samples as few sorted files a day, without repeated rows and without days before ``keep_from``."""
+    rows = spark.read.parquet(path)
+    if keep_from is not None:
+        day = F.to_date(F.timestamp_seconds(F.lit(keep_from // 1_000_000_000)))
+        rows = rows.where((F.col("day") >= day) & (F.col("timestamp") >= keep_from))
+    write_samples(rows.drop("day").dropDuplicates(["entity_id", "property", "timestamp"]), out)
+
+
 # -- slices ---------------------------------------------------------------------------------
 
 

@@ -123,7 +123,7 @@ def test_betweenness_on_a_path(spark):
 def test_shortest_path_and_all_pairs(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0)], "src long, dst long, weight double")
-    got = [(r.node_id, r.cost, r.index) for r in algorithms.shortest_path(edges, 1, 3).orderBy("index").collect()]
+    got = [(r["node_id"], r["cost"], r["index"]) for r in algorithms.shortest_path(edges, 1, 3).orderBy("index").collect()]
     assert got == [(1, 2.0, 0), (2, 2.0, 1), (3, 2.0, 2)]
     assert algorithms.shortest_path(edges, 1, 4).count() == 0
     assert sorted(tuple(r) for r in algorithms.apsp(nodes, edges).collect()) == [(1, 2, 1.0), (1, 3, 2.0), (2, 3, 1.0)]
@@ -201,3 +201,72 @@ def test_fusion(spark):
     a = spark.createDataFrame([(1, 9.0), (2, 8.0)], "node_id long, score double")
     b = spark.createDataFrame([(2, 5.0), (3, 4.0)], "node_id long, score double")
     assert [r.node_id for r in search.fuse(a, b, k=3).collect()] == [2, 1, 3]
+
+
+def components_without(nodes, edges, skip):
+    left = {n: n for n in nodes}
+
+    def root(x):
+        while left[x] != x:
+            x = left[x]
+        return x
+
+    for i, (a, b) in enumerate(edges):
+        if i != skip:
+            left[root(a)] = root(b)
+    return len({root(n) for n in nodes})
+
+
+def test_bridges_against_removal(spark):
+    import random
+
+    r = random.Random(4)
+    nodes = list(range(24))
+    edges = [(r.randrange(24), r.randrange(24)) for _ in range(24)] + [(0, 1), (1, 0)]
+    want = {(min(e), max(e)) for i, e in enumerate(edges) if e[0] != e[1] and components_without(nodes, edges, i) > components_without(nodes, edges, None)}
+    n, e = graph_of(spark, nodes, edges)
+    assert {tuple(x) for x in algorithms.bridges(n, e).collect()} == want
+
+
+def test_louvain_finds_two_cliques(spark):
+    clique = [(a, b) for k in (0, 10) for a in range(k, k + 5) for b in range(a + 1, k + 5)]
+    n, e = graph_of(spark, [*range(5), *range(10, 15)], clique + [(4, 10)])
+    got = algorithms.louvain(n, e)
+    assert algorithms.modularity(got, e) > 0.4
+
+
+def test_durations_and_paths(spark):
+    c = F.col
+    r = spark.range(1).select(scalar.duration(F.lit("PT1H30M")).alias("a"), scalar.duration(F.lit("1h30m")).alias("b"), scalar.duration(F.lit("P2DT0.5S")).alias("c"), scalar.duration(F.lit("-250ms")).alias("d"), scalar.duration(F.lit("soon")).alias("e"), scalar.zoned_time(F.lit("10:20:30+02:00")).alias("z")).first()
+    assert (r.a, r.b, r.c, r.d, r.e) == (5400 * 10**9, 5400 * 10**9, 2 * 86400 * 10**9 + 5 * 10**8, -25 * 10**7, None)
+    assert (r.z.time, r.z.offset_s) == (37230 * 10**9, 7200)
+    path = spark.createDataFrame([([1, 2, 1], [7, 8])], "nodes array<long>, edges array<long>").select(F.struct("nodes", "edges").alias("p"))
+    f = scalar.FUNCTIONS
+    got = path.select(f["path_length"](c("p")).alias("n"), f["is_acyclic"](c("p")).alias("a"), f["is_trail"](c("p")).alias("t"), f["is_simple"](c("p")).alias("s")).first()
+    assert tuple(got) == (2, False, True, True)
+
+
+def test_containment_paths_of_hits(spark, house):
+    up = spark.createDataFrame([(3, 2), (4, 2), (2, 1)], "child long, parent long")
+    names = spark.createDataFrame([(1, "HQ"), (2, "Floor-1"), (3, "T1")], "id long, name string")
+    hits = spark.createDataFrame([(3, 0.9), (1, 0.5)], "node_id long, score double")
+    assert sorted(tuple(r) for r in search.with_path(hits, up, names, 5).collect()) == [(1, 0.5, "HQ"), (3, 0.9, "HQ > Floor-1 > T1")]
+
+
+def test_properties_of_a_variable(house):
+    r = house.match("s", "sensor").where(prop("s") == 3).df.select(house.match("s", "sensor").properties("s").alias("p"), house.match("s", "sensor").property_names("s").alias("k")).first()
+    assert r.p.asDict() == {"name": "T1", "temp": 72.5} and r.k == ["name", "temp"]
+
+
+def test_compaction_and_retention(spark, tmp_path):
+    day = 86_400_000_000_000
+    s = spark.createDataFrame([(1, "t", i * day, float(i)) for i in range(4)], "entity_id long, property string, timestamp long, value double")
+    for _ in range(2):
+        files.write_samples(s, str(tmp_path / "s"))
+    files.compact_samples(spark, str(tmp_path / "s"), str(tmp_path / "c"), keep_from=2 * day)
+    assert sorted(r.value for r in files.read_samples(spark, str(tmp_path / "c"), 0, 9 * day).collect()) == [2.0, 3.0]
+
+
+def test_procedure_list(spark):
+    names = {r.name for r in catalog.procedures(spark).collect()}
+    assert {"timeseries.value_at", "algorithms.pagerank", "search.text_search"} <= names
