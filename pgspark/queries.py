@@ -579,7 +579,7 @@ def mutate(spark, d):
     return mutations.insert(s, table(spark, d, "nation").where("n_nationkey < 2").select((F.col("n_nationkey") + 100000).cast("long").alias("k"), F.lit(0.0).alias("balance")))
 
 
-@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey BETWEEN 1 AND 10 THEN -1.0 ELSE s_acctbal END AS balance FROM supplier UNION ALL SELECT k, -1.0 FROM (SELECT unnest(range(1, 11)) * 1000000 AS k)")
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey BETWEEN 1 AND 10 THEN -1.0 ELSE s_acctbal END AS balance FROM supplier UNION ALL SELECT k, -1.0 FROM (SELECT unnest(range(1, 11)) AS k UNION ALL SELECT unnest(range(1, 11)) * 1000000) WHERE k NOT IN (SELECT s_suppkey FROM supplier)")
 def merge(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("balance"))
     new = spark.range(1, 11).select(F.explode(F.array("id", F.col("id") * 1000000)).alias("k"), F.lit(-1.0).alias("balance"))
