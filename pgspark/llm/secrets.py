@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pgspark.llm.common import SPAN, masked, native_spans, span_list
+from pgspark.llm.common import SPAN, masked, materialise, native_spans, span_list
 
 #: The base kinds in their listed order.
 BASE_KINDS = ["assign", "access", "hex"]
@@ -96,7 +96,8 @@ class BlobLedger:
 def scan_documents(docs: DataFrame, path: str = "doc_id", content: str = "text", ledger: DataFrame | None = None) -> DataFrame:
     """(path, blob_id, findings) of every row, scanning what ``ledger`` lacks."""
     seen = versions(docs, path, content)
-    fresh = scan_unseen(seen, ledger)
+    # The new rows are written: the ledger is a table, and Spark can split a skewed join between tables.
+    fresh = materialise(scan_unseen(seen, ledger), "blob-ledger")
     return findings_by_path(seen, fresh if ledger is None else ledger.select("blob_id", "rule_version", "findings").union(fresh))
 
 
@@ -104,9 +105,10 @@ def redact(docs: DataFrame, content: str = "text") -> DataFrame:
     """``docs`` with every finding in ``content`` replaced by its kind; other columns stay."""
     text = F.coalesce(F.col(content), F.lit(""))
     seen = docs.select(F.sha2(text, 256).alias("blob_id"), text.alias("_content"))
-    found = scan_unseen(seen).where(F.size("findings") > 0).select(F.col("blob_id").alias("_blob"), F.col("findings").alias("_findings"))
-    joined = docs.withColumn("_key", F.sha2(text, 256)).join(found, F.col("_key") == F.col("_blob"), "left")
-    new = F.when(F.col("_findings").isNotNull(), masked(text, F.col("_findings"))).otherwise(F.col(content))
+    found = materialise(scan_unseen(seen).where(F.size("findings") > 0), "blob-ledger")
+    own = docs[content]
+    joined = docs.join(found, F.sha2(F.coalesce(own, F.lit("")), 256) == found["blob_id"], "left")
+    new = F.when(found["findings"].isNotNull(), masked(own, found["findings"])).otherwise(own)
     return joined.select(*[new.alias(c) if c == content else docs[c] for c in docs.columns])
 
 
