@@ -120,8 +120,8 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted_rows(got, "doc_id", "fingerprint", "component_id") == want
 
 
-@pytest.mark.parametrize("cell_rows", [2, 8, 4096])
-def test_links_within_dealt_cells(spark, cell_rows):
+@pytest.mark.parametrize("cell_rows,distance,blocks", [(2, 4, 7), (8, 4, 7), (4096, 4, 7), (4096, 6, 9), (16, 2, 4)])
+def test_links_within_dealt_cells(spark, cell_rows, distance, blocks):
     """Chains of fingerprints a few bits apart, in cells of any size."""
     r = random.Random(7)
     fps = set()
@@ -133,8 +133,8 @@ def test_links_within_dealt_cells(spark, cell_rows):
                 f ^= 1 << b
     fps = sorted(fps)
     v = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, rep long")
-    got = {x.node: x.root for x in simhash.components(simhash.links(v, cell_rows=cell_rows)).collect()}
-    assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, range(len(fps)))
+    got = {x.node: x.root for x in simhash.components(simhash.links(v, distance, blocks, cell_rows)).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, range(len(fps)), distance)
 
 
 def test_components_of_long_chains_and_stars(spark):

@@ -21,7 +21,7 @@ def test_stages(spark):
 
     second = stage["near_duplicates"](spark, first, DIR)
     ids = sorted(rows)
-    components = brute_components([brute_fingerprint(rows[i].text, 5) for i in ids], ids)
+    components = brute_components([brute_fingerprint(rows[i].text, 5) for i in ids], ids, distance=6)
     left = {r.doc_id: r for r in second.collect()}
     assert set(left) == set(components)
 
