@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW, BLOCK = 50, 25
-CHUNK_WORDS = 1 << 20  # words that a task holds hashed at a time
+CHUNK_WORDS = 1 << 19  # words that a task holds hashed at a time
 CHARS_PER_BUCKET, LEAST_BUCKETS = 1 << 24, 1 << 10
 #: Odd multipliers of the two polynomials, and of the final mixing.
 MULTIPLIERS = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
