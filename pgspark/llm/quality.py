@@ -148,13 +148,12 @@ def references(docs: DataFrame) -> References:
                 own = sums.setdefault(lang, [np.zeros(len(CLASSES), np.int64), np.zeros(len(COMMON.get(lang, [])) + 1, np.int64)])
                 own[0] += classes
                 own[1] += word_histogram(words, COMMON.get(lang, []))
-        names = list(sums)
-        yield pa.record_batch([pa.array(names, pa.string()), *[pa.array([sums[k][i].tolist() for k in names], pa.list_(pa.int64())) for i in (0, 1)]], names=["lang", "classes", "words"])
+        flat = [(lang, kind, at, int(n)) for lang, own in sums.items() for kind, h in enumerate(own) for at, n in enumerate(h)]
+        yield pa.record_batch([pa.array([r[i] for r in flat], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["lang", "kind", "at", "n"])
 
-    parts = docs.select("lang", "text").mapInArrow(run, "lang string, classes array<long>, words array<long>")
-    add = lambda c: F.collect_list(F.struct("at", c))
-    flat = parts.select("lang", F.posexplode("classes").alias("at", "n"), F.lit(0).alias("kind")).union(parts.select("lang", F.posexplode("words").alias("at", "n"), F.lit(1).alias("kind")))
-    rows = flat.groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).groupBy("lang", "kind").agg(add("n").alias("h")).collect()  # at most 10 rows
+    parts = docs.select("lang", "text").mapInArrow(run, "lang string, kind int, at int, n long")
+    totals = parts.groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
+    rows = totals.groupBy("lang", "kind").agg(F.collect_list(F.struct("at", "n")).alias("h")).collect()  # at most 10 rows
     sums: dict[str, list] = {}
     for r in rows:
         sums.setdefault(r["lang"], [[], []])[r["kind"]] = [x["n"] for x in sorted(r["h"], key=lambda x: x["at"])]
