@@ -1,13 +1,16 @@
 """Personal data, and the terms that give it away.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. Then
-corpus co-occurrence estimates how much every term near a protected value tells
-about it: with ``n`` lines in the corpus, ``PMI(t, e) = log2(n * n(e,t) /
-(n(e) * n(t)))`` and ``IC(e) = log2(n / n(e))``, which PMI reaches when the term
-never appears without the value. A term is generalised when PMI is at least
-``generalise_at`` of IC and removed when it is at least ``remove_at``, in every
-document that holds the value. Pairs need ``min_support`` different contexts, so
-that copies of one line are not evidence. Only DataFrame functions are used.
+corpus co-occurrence estimates how much every term on the line of a protected
+value tells about it. All counts are of whole lines: with ``n`` lines in the
+corpus, ``PMI(t, e) = log2(n * n(e,t) / (n(e) * n(t)))`` and ``IC(e) = log2(n /
+n(e))``, which PMI reaches when the term never appears without the value. The
+share ``n(e,t) / n(t)`` is smoothed by ``s / (s + prior)``, where ``s`` counts the
+different lines of the pair: copies of one line add nothing, and a value with one
+or two lines counts as far as the corpus is large enough to tell. A term is
+generalised when PMI is at least ``generalise_at`` of IC and removed when it is at
+least ``remove_at``, in every document that holds the value. Only DataFrame
+functions are used.
 
 Defined results: a null text counts as empty; repeated rows each get their own
 result; a row with null id gets base spans only; extra columns are ignored; an
@@ -30,9 +33,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_OK = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
-#: A term: a run of four or more letters and digits with a letter in it, lower-cased.
-TERM = r"(?<![\p{L}\p{N}])(?=[\p{N}]*+\p{L})[\p{L}\p{N}]{4,}+"
-CONTEXT_CHARS = 80
+#: A term: a run of letters and digits with a letter in it, lower-cased.
+TERM = r"(?<![\p{L}\p{N}])(?=[\p{N}]*+\p{L})[\p{L}\p{N}]++"
 
 
 def _digits(s: Column) -> Column:
@@ -62,47 +64,50 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """For every span its value and the terms beside it on its line."""
+def _entity(s: Column) -> Column:
+    return F.concat(s["kind"], F.lit("|"), F.lower(s["value"]))
 
-    def one(s: Column) -> Column:
-        # One character more than the window tells whether its first or last word is cut.
-        head = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
-        tail = F.substring(text, s["end"] + 1, F.lit(CONTEXT_CHARS))
-        left = F.when(s["start"] > CONTEXT_CHARS, F.regexp_replace(head, r"^\S*+", "")).otherwise(head)
-        right = F.when(F.length(tail) == CONTEXT_CHARS, F.regexp_replace(tail, r"\S*$", "")).otherwise(tail)
-        near = F.concat(F.substring_index(left, "\n", -1), F.lit("\n"), F.substring_index(right, "\n", 1))
-        terms = F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(TERM), F.lit(0)))
-        return F.struct(F.concat(s["kind"], F.lit("|"), F.lower(s["value"])).alias("entity"), terms.alias("terms"), F.xxhash64(near).alias("context"))
 
-    return F.transform(spans, one)
+def _terms(line: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0)))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line"))
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans, ctx) of every row: one pass over the texts, no shuffle."""
+    """(doc_id, text_key, spans, entities) of every row: one pass over the texts, no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", text.alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("spans"))
-    return found.select("doc_id", F.xxhash64("text").alias("text_key"), "spans", _contexts(F.col("text"), F.col("spans")).alias("ctx"))
+    return found.select("doc_id", F.xxhash64("text").alias("text_key"), "spans", F.array_distinct(F.transform("spans", _entity)).alias("entities"))
+
+
+def value_lines(docs: DataFrame) -> DataFrame:
+    """(entities, terms, context) of every line that holds a value; no base pattern crosses a line end."""
+    lines = _lines(docs).where(F.col("line").rlike("[0-9@]"))
+    found = lines.select("line", F.array_distinct(F.transform(base_spans(F.col("line")), _entity)).alias("entities")).where(F.size("entities") > 0)
+    return found.select("entities", _terms(F.col("line")).alias("terms"), F.xxhash64("line").alias("context"))
 
 
 def term_lines(docs: DataFrame) -> DataFrame:
     """(term, n_t): lines of the corpus that hold the term; the empty term counts all lines."""
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line"))
-    terms = lines.select(F.explode(F.concat(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0))), F.array(F.lit("")))).alias("term"))
+    terms = _lines(docs).select(F.explode(F.concat(_terms(F.col("line")), F.array(F.lit("")))).alias("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
-def disclosures(docs: DataFrame, base: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, min_support: int = 3) -> DataFrame:
+def disclosures(docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, prior: float = 2.0) -> DataFrame:
     """(entity, term, pmi, ic, action) of every pair at or above ``generalise_at``."""
-    seen = base.select(F.explode("ctx").alias("c")).select("c.entity", "c.terms", "c.context")
+    seen = materialise(value_lines(docs), "pii-lines").select(F.explode("entities").alias("entity"), "terms", "context")
     pairs = seen.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("k"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("k").alias("n_et")).where(F.col("support") >= min_support)
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("k").alias("n_et"))
     entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     counts = term_lines(docs)
     lines = counts.where(F.col("term") == "").select(F.col("n_t").alias("n"))
     joined = pairs.join(counts, "term").join(entities, "entity").crossJoin(F.broadcast(lines))  # one row
     ic = F.log2(F.col("n") / F.col("n_e"))
-    pmi = F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    share = F.col("n_et") / F.col("n_t") * F.col("support") / (F.col("support") + prior)
+    pmi = F.log2(F.col("n") * share / F.col("n_e"))
     action = F.when(F.col("pmi") >= remove_at * F.col("ic"), REMOVED).otherwise(GENERAL)
     return joined.select("entity", "term", F.least(pmi, ic).alias("pmi"), ic.alias("ic")).where((F.col("ic") > 0) & (F.col("pmi") >= generalise_at * F.col("ic"))).withColumn("action", action)
 
@@ -110,7 +115,7 @@ def disclosures(docs: DataFrame, base: DataFrame, generalise_at: float = 0.8, re
 def term_spans(docs: DataFrame, base: DataFrame, disclosing: DataFrame) -> DataFrame:
     """(doc_id, text_key, more): where disclosing terms stand in documents that hold their entity."""
     by_entity = disclosing.groupBy("entity").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
-    held = base.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.array_distinct("ctx.entity")).alias("entity"))
+    held = base.where("doc_id IS NOT NULL").select("doc_id", F.explode("entities").alias("entity"))
     of_doc = held.join(by_entity, "entity").select("doc_id", F.explode("terms").alias("t")).groupBy("doc_id", "t.term").agg(F.max("t.action").alias("action"))
     of_doc = of_doc.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "action"))).alias("terms"))
     texts = docs.select("doc_id", F.col("text")).where(F.col("text").rlike("[0-9@]"))  # all rows with base spans have one
@@ -131,12 +136,12 @@ def term_spans(docs: DataFrame, base: DataFrame, disclosing: DataFrame) -> DataF
 def find(docs: DataFrame, **thresholds: float) -> DataFrame:
     """(doc_id, text_key, base, spans): base spans and all spans of every row.
 
-    ``base`` and its contexts are written once to the shared folder, as the
-    statistics and the result both read them.
+    ``base`` and the lines with values are written once to the shared folder, as
+    more than one later step reads them.
     """
     docs = docs.select("doc_id", "text")
     base = materialise(base_table(docs), "pii-base")
-    more = term_spans(docs, base, disclosures(docs, base, **thresholds))
+    more = term_spans(docs, base, disclosures(docs, **thresholds))
     joined = base.select("doc_id", "text_key", F.col("spans").alias("base")).join(more, ["doc_id", "text_key"], "left")
     # Terms inside a base span are covered already.
     kept = F.filter(F.coalesce("more", F.array().cast(f"array<{SPAN}>")), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
