@@ -9,23 +9,29 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes with A-Z lower-cased, and the seed of shingle hashes.
+ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+SEED = 42
 #: The span struct of the native scanners: code points, end exclusive.
 SPAN = "struct<start:int,ord:int,end:int,kind:string,value:string>"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only when the session names none (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Set here only in a local session that names none (tests); a cluster without one is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
+    if path:
+        return path
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         import tempfile
 
-        path = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +43,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove the folders of materialised tables that nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, root): the smallest node of each component, by alternating star contraction.
+
+    ``edges`` are (u, v) of any direction; nodes without edges are absent.
+    """
+    now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    before = None
+    while True:
+        # Large star: every larger neighbour of a node points at the smallest of its neighbourhood.
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Small star: a node and its smaller neighbours point at the smallest of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        pointed = large.join(least, "u")
+        small = pointed.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        old, now = now, materialise(small, name)
+        discard(old)
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state
 
 
 def _let(value: Column, body) -> Column:

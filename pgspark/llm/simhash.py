@@ -32,14 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pgspark.llm.common import materialise
+from pgspark.llm import similar
+from pgspark.llm.common import ASCII_LOWER, SEED, components, materialise
 
-SHINGLE, SEED, DISTANCE, BLOCKS, CELL_ROWS = 4, 42, 4, 7, 4096
+SHINGLE, DISTANCE, BLOCKS, CELL_ROWS = 4, 4, 7, 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of one text: majority of the bits of its shingles' hashes."""
-    words = (text or "").encode().translate(_LOWER).split()
+    words = (text or "").encode().translate(ASCII_LOWER).split()
     if not words:
         return 0
     joined = b" ".join(words)
@@ -57,9 +58,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the signed 64-bit form of the fingerprint of every row."""
 
@@ -167,29 +165,6 @@ def links(vertices: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, c
     return placed.mapInArrow(run, "u long, v long").distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root): the smallest node of each component, by alternating star contraction.
-
-    ``edges`` are (u, v) of any direction; nodes without edges are absent.
-    """
-    now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    before = None
-    while True:
-        # Large star: every larger neighbour of a node points at the smallest of its neighbourhood.
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: a node and its smaller neighbours point at the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pointed = large.join(least, "u")
-        small = pointed.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialise(small, name)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     own = materialise(fingerprints(docs.select("doc_id", "text"), shingle), "simhash-fp")
@@ -200,11 +175,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return own.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float | None = None, **options: int) -> DataFrame:
     """``docs`` without near-duplicates: the smallest id of each component stays, once.
 
+    With ``similarity``, texts link by the Jaccard similarity of their shingle
+    sets instead of by ``distance``: at 0.8 fingerprints are some ten bits apart,
+    where no grid over 64 bits prunes, so candidates then come from ``similar``.
     Rows with null id cannot be told apart and stay.
     """
+    if similarity is not None:
+        return similar.keep_one(docs, similarity=similarity, **options)
     found = near_duplicates(docs, **options)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])

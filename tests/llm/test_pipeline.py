@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from pgspark.llm import decontaminate, quality, secrets
 from tests.llm.helpers import clashing, empty, sorted_rows
-from tests.llm.test_duplicates import brute_components, brute_fingerprint
+from tests.llm.test_near_pairs import brute_kept
 
 DIR = "/root/testdata/sf0.01"
 
@@ -21,9 +21,8 @@ def test_stages(spark):
 
     second = stage["near_duplicates"](spark, first, DIR)
     ids = sorted(rows)
-    components = brute_components([brute_fingerprint(rows[i].text, 5) for i in ids], ids)
     left = {r.doc_id: r for r in second.collect()}
-    assert set(left) == set(components)
+    assert set(left) == brute_kept([rows[i].text for i in ids], ids)  # five words, similarity 0.8
 
     third = stage["benchmark_leaks"](spark, second, DIR)
     matcher = decontaminate.Matcher([(r.item_id, decontaminate.normal(r.text)) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()], decontaminate.RATE)

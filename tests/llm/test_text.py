@@ -2,7 +2,10 @@
 
 import random
 import re
+import time
+import unicodedata
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -38,6 +41,34 @@ def test_bpe_speculates_and_merges(spark):
     assert e.speculated_words and e.merged_words
 
 
+def test_bpe_of_all_code_points_and_marks():
+    """Classes, lower case and normal forms of every fourth code point, marks in any order, and control characters."""
+    t, e, r = Tokenizer.from_file(VOCAB), bpe.Encoder(bpe.Vocabulary(VOCAB)), random.Random(3)
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    newer = [c for k in (bpe.NEW_LETTERS, bpe.NEW_NUMBERS, bpe.NO_MARKS, *bpe.NEW_LOWER) for c in bpe.code_points(k)]
+    some = points[:0x3400] + newer + [c for c in points[0x3400:0x20000] if c % 4 == 0]
+    texts = [" ".join(f"a{chr(c)}b 1{chr(c)}!" for c in some[i : i + 2000]) for i in range(0, len(some), 2000)]
+    marks = [chr(c) for c in points if unicodedata.combining(chr(c))] + list("ae\u00e9q\u212b\uac00") * 60 + ["\U00011935", "\U00011930"] * 20
+    texts += ["".join(r.choice(marks) for _ in range(40)) for _ in range(300)]
+    odd = ["\u00a0", "\t", "\x1c", "\x1d", "a", "!", "'s", "\u2003", "1", "<|endoftext|>", "<|startoftext|>", "\x85", "\u03a3", "\u0130", "\ufa6c"]
+    texts += ["".join(r.choice(odd) for _ in range(30)) for _ in range(300)]
+    for text, (ids, decoded) in zip(texts, e.encode(texts)):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == t.decode(want, skip_special_tokens=False), repr(text)[:80]
+
+
+def test_bpe_of_long_words():
+    """Merging is near-linear: words around the limit of the heap as in the library, and one of a million letters in seconds."""
+    t, e, r = Tokenizer.from_file(VOCAB), bpe.Encoder(bpe.Vocabulary(VOCAB)), random.Random(5)
+    letters = lambda n: "".join(r.choice("etaoinshrdlu") for _ in range(n))
+    texts = [letters(n) for n in (1, 63, 64, 65, 66, 100, 5000)] + ["a" * 5000, "ab" * 3000]
+    for text, (ids, _) in zip(texts, e.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    began = time.process_time()
+    list(e.encode([letters(1_000_000)]))
+    assert time.process_time() - began < 60
+
+
 def test_bpe_odd_tables(spark):
     assert bpe.digests(empty(spark), VOCAB).count() == 0
     df = docs(spark, ["a b", "a b", None], ids=[1, 1, None])
@@ -139,6 +170,16 @@ def test_edited_passages_against_brute_force(spark):
         assert clean == set(range(len(texts))) - {w[0] for w in want}
 
 
+def test_short_items_and_other_ids(spark):
+    """Items below the limit are found as whole words and without edits; item ids may be text or null."""
+    bench = spark.createDataFrame([("a", "Paris  in May"), (None, "42"), ("e", ""), ("n", None)], "item_id string, text string")
+    texts = ["we saw paris\nin may, twice", "paris in mayor", "comparis in may", "the answer is 42.", "142 and 420", "paris in ma", None]
+    assert sorted_rows(decontaminate.hits(docs(spark, texts), bench), "doc_id", "item_id", "distance") == [(0, "a", 0), (3, None, 0)]
+    assert [r[0] for r in sorted_rows(decontaminate.clean(docs(spark, texts), bench), "doc_id")] == [1, 2, 4, 5, 6]
+    long = "x y " * 300_000
+    assert sorted_rows(decontaminate.hits(docs(spark, [long + "42"]), bench), "item_id") == [(None,)]
+
+
 def test_decontamination_odd_tables(spark):
     bench = spark.createDataFrame([(1, "a" * 50)], "item_id long, text string")
     assert decontaminate.hits(empty(spark), bench).count() == 0
@@ -162,10 +203,74 @@ def test_article_text(spark):
 
 
 def test_differencing_without_article(spark):
+    """Shared lines go, whatever the partitions; switching differencing off would keep them."""
     page = "<body><div>Site name</div><div>Menu</div><p>{}</p><p>{}</p><div>All rights reserved</div></body>"
-    rows = [(i, f"http://host.test/dir/{i}", page.format(f"first text {i}", f"second text {i}")) for i in range(6)]
-    got = dict(sorted_rows(html.extract(pages(spark, rows).coalesce(1)), "page_id", "text"))
-    assert all(got[i] == f"first text {i}\nsecond text {i}" for i in range(6))
+    rows = [(i, f"http://host.test/dir/{i}", page.format(f"first text {i}", f"second text {i}")) for i in range(40)]
+    rows += [(100, "http://host.test/dir/7", rows[7][2]), (7, *rows[7][1:]), (101, "http://lone.test/", rows[1][2])]
+    want = sorted([(i if i < 40 else 100, f"first text {i % 93}\nsecond text {i % 93}") for i in [*range(40), 7, 100]] + [(101, html.main_text(html.lines(rows[1][2]), []))], key=str)
+    for n in (1, 5, 40):
+        assert sorted_rows(html.extract(pages(spark, rows).repartition(n)), "page_id", "text") == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        assert sorted_rows(html.extract(pages(spark, rows)), "page_id", "text") == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_nearest_neighbour_and_copies():
+    own, kinds = [1, 2, 3, 4], bytes([html.NEUTRAL] * 4)
+    assert html.deleted(own, kinds, "/a/x1", [("/a/b", [1, 9]), ("/a/x2", [4])]) == [3]  # the longer common beginning
+    assert html.deleted(own, kinds, "/a/x", [("/a/b", [1, 9]), ("/a/c", [4])]) == [0]  # of equals the page before
+    assert html.deleted(own, kinds, "/a/x1", [("/a/b", [1, 9]), ("/a/x2", own)]) == [0]  # a copy deletes nothing
+    assert html.deleted(own, bytes([2, 0, 0, 0]), "/a", [("/a", [2, 9]), None]) == []
+
+
+def test_markup():
+    text = lambda page: html.main_text(html.lines(page), [])
+    assert text("<p data-x=it's>first</p><p title='a>b' class=x>second") == "first\nsecond"
+    assert text('<p title="un>closed</p><p>next') == "closed\nnext" or text('<p title="un>closed</p><p>next').endswith("next")
+    assert text("<p>" + "long " * 300_000 + "</p>") == ("long " * 300_000).strip()
+
+
+class _Blocks(HTMLParser):
+    """Blocks of article elements, by Python's own parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skip, self.out, self.part = 0, 0, [], []
+
+    def flush(self):
+        text = " ".join("".join(self.part).split())
+        self.part = []
+        if text:
+            self.out.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html.BLOCKS:
+            self.flush()
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCKS:
+            self.flush()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.part.append(data)
+
+
+def test_whole_pages_against_another_parser(spark):
+    folder = "/root/testdata/sf0.01"
+    got = dict(sorted_rows(html.extract(spark.read.parquet(f"{folder}/pages.parquet")), "page_id", "text"))
+    for r in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        p = _Blocks()
+        p.feed(re.sub(r"<[a-z/]*\Z", "", r.html or ""))
+        p.close()
+        p.flush()
+        assert got[r.page_id] == "\n".join(p.out)
 
 
 def test_longest_common_subsequence():
