@@ -107,6 +107,39 @@ def text_match(text: Column, query: Column) -> Column:
     return F.forall(F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != ""), lambda w: F.contains(F.lower(text), w))
 
 
+def trim_of(s: Column, chars: str) -> Column:
+    """``TRIM(chars FROM s)``: any of the characters, on both sides."""
+    return F.btrim(s, F.lit(chars))
+
+
+#: Type names, by the beginning of Spark's.
+TYPE_NAMES = {"void": "NULL", "boolean": "BOOL", "tinyint": "INT", "smallint": "INT", "int": "INT", "bigint": "INT", "float": "FLOAT", "double": "FLOAT", "decimal": "FLOAT", "string": "STRING", "array<float>": "VECTOR", "array": "LIST", "timestamp_ntz": "LOCAL_DATETIME", "timestamp": "ZONED_DATETIME", "date": "DATE", "interval": "DURATION", "binary": "BYTES", "struct<nodes": "PATH", "struct<type:string,rings": "GEOMETRY", "struct": "RECORD", "map": "RECORD"}
+
+
+def value_type(x: Column) -> Column:
+    """The type's name; ``NULL`` for a null."""
+    name = F.lit("RECORD")
+    for spark_name, own in reversed(TYPE_NAMES.items()):
+        name = F.when(F.startswith(F.typeof(x), F.lit(spark_name)), own).otherwise(name)
+    return F.when(x.isNull(), "NULL").otherwise(name)
+
+
+def is_typed(x: Column, name: str) -> Column:
+    """``x IS TYPED name``; a null is of every type."""
+    return x.isNull() | (value_type(x) == name.upper())
+
+
+def size_of(x: Column) -> Column:
+    """Elements of a list, edges of a path, characters of a text.
+
+    The type is known when the plan is made, so one branch is left; where it is
+    known to the caller too, ``F.size`` and ``F.length`` save the way over JSON.
+    """
+    json, kind = F.to_json(F.struct(x.alias("v"))), F.typeof(x)
+    of = lambda path: F.json_array_length(F.get_json_object(json, path))
+    return F.when(F.startswith(kind, F.lit("array")), of("$.v")).when(F.startswith(kind, F.lit("struct")), of("$.v.edges")).otherwise(F.length(F.get_json_object(json, "$.v")))
+
+
 # -- numbers -------------------------------------------------------------------
 
 
@@ -131,8 +164,13 @@ def round_half_away(x: Column, digits: int = 0) -> Column:
 
 
 def int_divide(a: Column, b: Column) -> Column:
-    """Truncates toward zero; an error for 0."""
-    return ((a - a % b) / b).cast("long")
+    """Truncates toward zero, in whole numbers throughout; an error for 0."""
+    return F.call_function("div", a, b)
+
+
+def floor_to(x: Column, width: int) -> Column:
+    """The multiple of ``width`` at or below a whole number, without passing through a double."""
+    return x - F.pmod(x, F.lit(width))
 
 
 def sign(x: Column) -> Column:
@@ -209,7 +247,7 @@ def date_sub_nanos(a: Column, b: Column) -> Column:
 
 def timestamp_to_string(nanos: Column) -> Column:
     """ISO text to the second, in UTC."""
-    seconds = F.floor(nanos / F.lit(1_000_000_000)).cast("long")
+    seconds = int_divide(floor_to(nanos, 1_000_000_000), F.lit(1_000_000_000))
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
@@ -220,7 +258,7 @@ def duration_between(a: Column, b: Column) -> Column:
 
 def date_plus(day: Column, nanos: Column) -> Column:
     """A date plus a duration stays a date: whole days, rounded down."""
-    return F.date_add(day, F.floor(nanos / F.lit(86_400_000_000_000)).cast("int"))
+    return F.date_add(day, int_divide(floor_to(nanos, 86_400_000_000_000), F.lit(86_400_000_000_000)).cast("int"))
 
 
 def duration(text: Column) -> Column:
@@ -266,13 +304,13 @@ FUNCTIONS = {
     "starts_with": F.startswith, "ends_with": F.endswith, "contains": F.contains, "like": like, "normalize": normalize, "is_normalized": is_normalized, "text_match": text_match,
     # conversion
     "to_string": text_of, "tostring": lambda x: x.cast("string"), "float_text": float_text, "tointeger": to_integer, "tofloat": to_float, "toboolean": to_boolean, "double": lambda x: x.cast("double"),
-    "value_type": F.typeof, "nullif": F.nullif, "null_if": F.nullif,
+    "value_type": value_type, "is_typed": is_typed, "trim_of": trim_of, "nullif": F.nullif, "null_if": F.nullif,
     # numbers
     "abs": F.abs, "ceil": F.ceil, "floor": F.floor, "sqrt": sqrt, "sign": sign, "round": round_half_away, "power": F.power, "log": log, "ln": log, "log10": log10, "exp": F.exp,
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "atan2": F.atan2, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "cot": F.cot,
     "degrees": F.degrees, "radians": F.radians, "pi": F.pi, "mod": lambda a, b: a % b, "div": int_divide, "xor": xor, "between": between,
     # lists
-    "size": F.size, "length": F.length, "cardinality": F.size, "list_length": F.size, "head": head, "last": last, "tail": tail, "range": int_range,
+    "size": size_of, "length": size_of, "cardinality": F.size, "list_length": F.size, "head": head, "last": last, "tail": tail, "range": int_range,
     "list_contains": F.array_contains, "list_slice": list_slice, "list_append": F.array_append, "list_prepend": F.array_prepend, "list_reverse": F.reverse, "list_sort": list_sort,
     "any": F.exists, "all": F.forall, "none": lambda xs, f: ~F.exists(xs, f), "single": single, "reduce": F.aggregate, "filter": F.filter, "transform": F.transform, "all_different": all_different, "same": same,
     # time

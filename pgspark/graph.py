@@ -7,6 +7,7 @@ query does not use.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -206,6 +207,83 @@ class Bindings:
         counts = rows.groupBy(var).agg(F.count(F.lit(1)).alias("_degree"))
         return self._with(self.df.join(counts, var, "left").withColumn(name, F.coalesce("_degree", F.lit(0))).drop("_degree"))
 
+    def _matched(self, other: Bindings, value: Column) -> tuple[list[str], DataFrame]:
+        shared = self._shared(other)
+        return shared, other.df.select(*shared, value.alias("_value"))
+
+    def collect_of(self, other: Bindings, value: Column, name: str) -> Bindings:
+        """``COLLECT { ... }``: a value of all matches of a correlated pattern, sorted; an empty list where there is none."""
+        shared, found = self._matched(other, value)
+        lists = found.groupBy(*shared).agg(F.array_sort(F.collect_list("_value")).alias("_list"))
+        kind = lists.schema["_list"].dataType
+        return self._with(self.df.join(lists, shared, "left").withColumn(name, F.coalesce("_list", F.array().cast(kind))).drop("_list"))
+
+    def value_of(self, other: Bindings, value: Column, name: str) -> Bindings:
+        """``VALUE { ... }``: the value of the only match, null without one; more than one match is an error."""
+        shared, found = self._matched(other, value)
+        one = found.groupBy(*shared).agg(F.count(F.lit(1)).alias("_n"), F.first("_value").alias("_one"))
+        checked = F.when(F.col("_n") > 1, F.raise_error(F.lit("VALUE has more than one match")).cast(one.schema["_one"].dataType)).otherwise(F.col("_one"))
+        return self._with(self.df.join(one, shared, "left").withColumn(name, checked).drop("_n", "_one"))
+
+    def call(self, subquery: Callable[[Callable[[str], Column]], DataFrame], optional: bool = False) -> Bindings:
+        """``CALL { ... }``: for each row the rows of a subquery, which gets the row's values by ``outer("n.p")``.
+
+        Inside it aggregate with ``select``, which may hold values of the row that are bound later; ``groupBy`` may not.
+        """
+        found = subquery(lambda name: prop(name).outer())
+        return self._with(self.df.lateralJoin(found, F.lit(True), "left") if optional else self.df.lateralJoin(found))
+
+    def call_procedure(self, result: DataFrame, on: dict[str, str], yields: dict[str, str], optional: bool = False) -> Bindings:
+        """``CALL procedure YIELD``: the rows of a procedure's result that belong to each row.
+
+        ``on`` names the result's column for each variable, ``yields`` the new name of each column that is kept.
+        """
+        kept = result.select(*[F.col(c).alias(v) for v, c in on.items()], *[F.col(c).alias(name) for c, name in yields.items()])
+        return self._with(self.df.join(kept, list(on), "left" if optional else "inner"))
+
+    def next(self, columns: dict[str, Column]) -> Bindings:
+        """``NEXT``: goes on with some columns as the only rows; a variable's key keeps its label, so it can be expanded again."""
+        df = self.df.select(*[c.alias(name) for name, c in columns.items()])
+        return Bindings(self.graph, df, {v: label for v, label in self.labels.items() if v in columns})
+
+    # -- functions of variables --------------------------------------------------
+
+    def id(self, var: str) -> Column:
+        """The key of a node, or of an edge whose table has one."""
+        return F.col(f"{var}__{self.graph.edges[self.edge_vars[var]].key}") if var in self.edge_vars else F.col(var)
+
+    def element_id(self, var: str) -> Column:
+        return self.id(var).cast("string")
+
+    def type(self, edge_var: str) -> Column:
+        return F.lit(self.edge_vars[edge_var])
+
+    def start_node(self, edge_var: str) -> Column:
+        return F.col(f"{edge_var}__{self.graph.edges[self.edge_vars[edge_var]].src}")
+
+    def end_node(self, edge_var: str) -> Column:
+        return F.col(f"{edge_var}__{self.graph.edges[self.edge_vars[edge_var]].dst}")
+
+    def is_source_of(self, var: str, edge_var: str) -> Column:
+        right = self.labels[var] == self.graph.edges[self.edge_vars[edge_var]].src_label
+        return F.lit(right) & (F.col(var) == self.start_node(edge_var))
+
+    def is_destination_of(self, var: str, edge_var: str) -> Column:
+        right = self.labels[var] == self.graph.edges[self.edge_vars[edge_var]].dst_label
+        return F.lit(right) & (F.col(var) == self.end_node(edge_var))
+
+    def labels_of(self, var: str) -> Column:
+        """The labels of a node, sorted; of an edge its label alone."""
+        own = {self.edge_vars[var]} if var in self.edge_vars else {self.labels[var], *self.graph.nodes[self.labels[var]].also}
+        return F.array(*[F.lit(x) for x in sorted(own)])
+
+    def is_labeled(self, var: str, expression: Label) -> Column:
+        return expression.test(self.labels_of(var))
+
+    def property_exists(self, var: str, name: str) -> Column:
+        """False for a property that the variable's table lacks."""
+        return F.col(f"{var}__{name}").isNotNull() if f"{var}__{name}" in self.df.columns else F.lit(False)
+
     def properties(self, var: str) -> Column:
         """All properties of a variable as a struct."""
         names = [c for c in self.df.columns if c.startswith(f"{var}__")]
@@ -216,6 +294,8 @@ class Bindings:
         names = [c for c in self.df.columns if c.startswith(f"{var}__")]
         return F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c[len(var) + 2 :])) for c in names]))
 
+    keys = property_names
+
     def select(self, *columns: Column | str) -> DataFrame:
         return self.df.select(*[prop(c) if isinstance(c, str) else c for c in columns])
 

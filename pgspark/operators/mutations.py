@@ -21,8 +21,10 @@ def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
 def merge(table: DataFrame, rows: DataFrame, keys: list[str], on_match: dict[str, Column] | None = None) -> DataFrame:
     """Insert the rows whose keys are absent; update matches with ``on_match``, which may use ``new_<column>``.
 
-    ``rows`` hold each key once. Keys compare null-safely.
+    ``rows`` hold each key once, else it is an error. Keys compare null-safely.
     """
+    if not rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        raise ValueError("a key stands in more than one of the rows to merge")
     new = rows.select(*[F.col(c).alias(f"new_{c}") for c in rows.columns], F.lit(True).alias("_hit"))
     same = F.lit(True)
     for k in keys:
@@ -73,13 +75,14 @@ def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 class VersionedTable:
-    """A folder of versions; the current one is the last row of its manifest."""
+    """A folder of versions; each is named by a file of its number, which only one writer can create."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _manifest(self) -> DataFrame:
-        return self.spark.read.schema("version long, path string").json(f"{self.folder}/manifest")
+        named = self.spark.read.text(f"{self.folder}/manifest").select("value", "_metadata.file_name")
+        return named.select(F.col("file_name").cast("long").alias("version"), F.col("value").alias("path"))
 
     def read(self, version: int | None = None) -> DataFrame:
         rows = self._manifest() if version is None else self._manifest().where(F.col("version") == version)
@@ -89,12 +92,18 @@ class VersionedTable:
         """Write a version, then name it; a writer that fails in between leaves the old version current."""
         path = f"{self.folder}/data-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        try:
-            last = self._manifest().agg(F.max("version")).first()[0]
-        except Exception as e:  # the first version has no manifest yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            last = None
-        version = (last or 0) + 1
-        self.spark.createDataFrame([(version, path)], "version long, path string").coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
-        return version
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(f"{self.folder}/manifest")
+        fs = folder.getFileSystem(self.spark._jsc.sc().hadoopConfiguration())
+        fs.mkdirs(folder)
+        while True:
+            version = 1 + max([int(f.getPath().getName()) for f in fs.listStatus(folder)], default=0)
+            try:
+                out = fs.create(hadoop.Path(folder, str(version)), False)
+            except Exception as e:  # another writer took this number
+                if "already exists" not in str(e):
+                    raise
+                continue
+            out.write(bytearray(path.encode()))
+            out.close()
+            return version

@@ -23,12 +23,18 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "eid").unionAll(back)
 
 
-def var_expand(starts: DataFrame, edges: DataFrame, low: int, high: int, mode: str = "walk", target: Column | None = None) -> DataFrame:
+#: Hops after which an unbounded quantifier ends.
+UNBOUNDED = 64
+
+
+def var_expand(starts: DataFrame, edges: DataFrame, low: int, high: int | None, mode: str = "walk", target: Column | None = None) -> DataFrame:
     """(start, node, depth, nodes, edges): all paths of ``low`` to ``high`` hops from ``starts.start``.
 
     Modes: walk (anything may repeat), trail (no edge repeats), acyclic (no node
     repeats), simple (only the start may come again, and ends the path). A
     ``target`` condition on ``node`` filters what is returned, not what is walked.
+    Without ``high`` (the quantifiers ``*`` and ``+``) paths grow until none is
+    left or to ``UNBOUNDED`` hops, and each hop is written to the shared folder.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
@@ -36,7 +42,7 @@ def var_expand(starts: DataFrame, edges: DataFrame, low: int, high: int, mode: s
     node_type, edge_type = starts.schema["start"].dataType.simpleString(), edges.schema["eid"].dataType.simpleString()
     level = starts.select("start", F.col("start").cast(node_type).alias("node"), F.lit(0).alias("depth"), F.array("start").alias("nodes"), F.array().cast(f"array<{edge_type}>").alias("edges"))
     out = level if low == 0 else None
-    for depth in range(1, high + 1):
+    for depth in range(1, (UNBOUNDED if high is None else high) + 1):
         grown = level.join(step, "node")
         if mode == "trail":
             grown = grown.where(~F.array_contains("edges", F.col("_eid")))
@@ -46,6 +52,10 @@ def var_expand(starts: DataFrame, edges: DataFrame, low: int, high: int, mode: s
             grown = grown.where(~F.array_contains("nodes", F.col("_next")) | (F.col("_next") == F.col("start")))
             grown = grown.where((F.col("depth") == 0) | (F.col("node") != F.col("start")))  # closed paths end
         level = grown.select("start", F.col("_next").alias("node"), F.lit(depth).alias("depth"), F.array_append("nodes", F.col("_next")).alias("nodes"), F.array_append("edges", F.col("_eid")).alias("edges"))
+        if high is None:
+            level = materialise(level, "var-expand")
+            if level.isEmpty():
+                break
         if depth >= low:
             out = level if out is None else out.unionAll(level)
     out = level.limit(0) if out is None else out

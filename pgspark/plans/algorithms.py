@@ -6,10 +6,10 @@ change comes to the driver, except where a docstring says so.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pgspark.plans.rounds import materialise
+from pgspark.plans.rounds import discard, materialise
 
 
 def project(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,15 +35,17 @@ def wcc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     label's own label, so that long chains shrink fast.
     """
     both = materialise(edges.select("src", "dst").unionAll(edges.select("dst", "src")).where("src <> dst").distinct(), "wcc-edges")
-    labels = nodes.select("id", F.col("id").alias("c"))
+    labels, held = nodes.select("id", F.col("id").alias("c")), None
     while True:
         offered = both.join(labels, both["src"] == labels["id"]).groupBy("dst").agg(F.min("c").alias("m"))
         lower = labels.join(offered, labels["id"] == offered["dst"], "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
         jump = lower.select(F.col("id").alias("_j"), F.col("n").alias("_n"))
         new = materialise(lower.join(jump, lower["n"] == jump["_j"], "left").select("id", "c", F.least("n", F.coalesce("_n", "n")).alias("n")), "wcc")
         changed = not new.where("n <> c").isEmpty()
-        labels = new.select("id", F.col("n").alias("c"))
+        discard(held)
+        labels, held = new.select("id", F.col("n").alias("c")), new
         if not changed:
+            discard(both)
             return labels.select(F.col("id").alias("node_id"), F.col("c").alias("component_id"))
 
 
@@ -57,30 +59,40 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     links = materialise(edges.join(out, "src").select("src", "dst", "k"), "pagerank-links")
     base = materialise(ids.join(out.select(F.col("src").alias("id"), "k"), "id", "left"), "pagerank-nodes")
     score = base.select("id", F.col("k").isNull().alias("dangling"), F.lit(1.0 / n).alias("s"))
+    held, lost = None, base.where("k IS NULL").count() / n
     for _ in range(rounds):
-        lost = score.where("dangling").agg(F.coalesce(F.sum("s"), F.lit(0.0))).first()[0]
         sent = links.join(score, links["src"] == score["id"]).groupBy("dst").agg(F.sum(F.col("s") / F.col("k")).alias("r"))
         rank = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("r", F.lit(0.0))
         new = materialise(score.join(sent, score["id"] == sent["dst"], "left").select("id", "dangling", F.col("s").alias("old"), rank.alias("s")), "pagerank")
-        change = new.agg(F.max(F.abs(F.col("s") - F.col("old")))).first()[0]
-        score = new.drop("old")
+        change, lost = new.agg(F.max(F.abs(F.col("s") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("s"))), F.lit(0.0))).first()
+        discard(held)
+        score, held = new.drop("old"), new
         if change < tolerance:
             break
     return score.select(F.col("id").alias("node_id"), F.col("s").alias("score"))
 
 
-def sssp(sources: DataFrame, edges: DataFrame) -> DataFrame:
-    """(source, node_id, distance): least sums of non-negative weights from each ``sources.source``; unreachable nodes are absent."""
+def _distances(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, node_id, best<distance, hops>): least distances, and of equal ones the fewest hops."""
     step = edges.groupBy("src", "dst").agg(F.min("weight").cast("double").alias("weight"))
-    best = materialise(sources.select("source", F.col("source").alias("node_id"), F.lit(0.0).alias("distance")).distinct(), "sssp")
+    start = F.struct(F.lit(0.0).alias("distance"), F.lit(0).alias("hops")).alias("best")
+    best = materialise(sources.select("source", F.col("source").alias("node_id"), start).distinct(), "sssp")
     frontier = best
     while True:
-        offered = frontier.join(step, frontier["node_id"] == step["src"]).groupBy("source", "dst").agg(F.min(F.col("distance") + F.col("weight")).alias("d"))
-        known = best.select(F.col("source").alias("_s"), F.col("node_id").alias("_n"), F.col("distance").alias("_d"))
-        frontier = materialise(offered.join(known, (F.col("source") == F.col("_s")) & (F.col("dst") == F.col("_n")), "left").where("_d IS NULL OR d < _d").select("source", F.col("dst").alias("node_id"), F.col("d").alias("distance")), "sssp")
+        grown = F.min(F.struct((F.col("best.distance") + F.col("weight")).alias("distance"), (F.col("best.hops") + 1).alias("hops"))).alias("d")
+        offered = frontier.join(step, frontier["node_id"] == step["src"]).groupBy("source", "dst").agg(grown)
+        known = best.select(F.col("source").alias("_s"), F.col("node_id").alias("_n"), F.col("best").alias("_d"))
+        shorter = offered.join(known, (F.col("source") == F.col("_s")) & (F.col("dst") == F.col("_n")), "left").where("_d IS NULL OR d < _d")
+        last, frontier = frontier, materialise(shorter.select("source", F.col("dst").alias("node_id"), F.col("d").alias("best")), "sssp")
         if frontier.isEmpty():
             return best
-        best = materialise(best.unionAll(frontier).groupBy("source", "node_id").agg(F.min("distance").alias("distance")), "sssp")
+        old, best = best, materialise(best.unionAll(frontier).groupBy("source", "node_id").agg(F.min("best").alias("best")), "sssp")
+        discard(old, last)
+
+
+def sssp(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, node_id, distance): least sums of non-negative weights from each ``sources.source``; unreachable nodes are absent."""
+    return _distances(sources, edges).select("source", "node_id", F.col("best.distance").alias("distance"))
 
 
 def apsp(nodes: DataFrame, edges: DataFrame, most_nodes: int = 10_000) -> DataFrame:
@@ -94,21 +106,32 @@ def apsp(nodes: DataFrame, edges: DataFrame, most_nodes: int = 10_000) -> DataFr
 def shortest_path(edges: DataFrame, source, target) -> DataFrame:
     """(node_id, cost, index): one shortest path; ``cost`` is the total on every row; no rows if unreachable.
 
-    Walks back from the target over edges that the distances confirm; of equals the smallest id is taken.
+    Every reached node names the node before it (of equals the smallest id).
+    The way back is followed by doubling: each round joins the table of jumps
+    with itself, so a path of n hops takes log2(n) rounds.
     """
     spark = edges.sparkSession
-    dist = materialise(sssp(spark.createDataFrame([(source,)], ["source"]), edges).select("node_id", "distance"), "path")
-    at = dist.where(F.col("node_id") == target).first()
-    if at is None:
-        return spark.createDataFrame([], "node_id long, cost double, index int")
-    total, path, now, left = at["distance"], [target], target, at["distance"]
-    while now != source:
-        into = edges.where(F.col("dst") == now).select("src", F.col("weight").cast("double").alias("weight"))
-        step = into.join(dist, into["src"] == dist["node_id"]).where((F.abs(F.col("distance") + F.col("weight") - left) < 1e-9) & ~F.col("src").isin(path)).orderBy("distance", "src").first()
-        now, left = step["src"], step["distance"]
-        path.append(now)
-    rows = [(n, float(total), i) for i, n in enumerate(reversed(path))]  # the nodes of one path
-    return spark.createDataFrame(rows, "node_id long, cost double, index int")
+    kind = edges.schema["src"].dataType.simpleString()
+    best = materialise(_distances(spark.createDataFrame([(source,)], f"source {kind}"), edges).select("node_id", "best"), "path")
+    step = edges.groupBy("src", "dst").agg(F.min("weight").cast("double").alias("weight"))
+    before = step.join(best.select(F.col("node_id").alias("src"), F.col("best").alias("b")), "src").join(best.select(F.col("node_id").alias("dst"), F.col("best").alias("e")), "dst")
+    before = before.where("b.distance + weight = e.distance AND b.hops + 1 = e.hops").groupBy("dst").agg(F.min("src").alias("at"))
+    jumps = materialise(before.select(F.col("dst").alias("node"), "at"), "path-jumps")
+    path = materialise(best.where(F.col("node_id") == F.lit(target)).select(F.col("node_id").alias("node")), "path-nodes")
+    while True:
+        more = path.join(jumps, "node").select(F.col("at").alias("node"))
+        longer = materialise(path.unionAll(more), "path-nodes")
+        ended = more.isEmpty()
+        discard(path)
+        path = longer
+        if ended:
+            break
+        far = jumps.select(F.col("node").alias("at"), F.col("at").alias("_to"))
+        old, jumps = jumps, materialise(jumps.join(far, "at").select("node", F.col("_to").alias("at")), "path-jumps")
+        discard(old)
+    discard(jumps)
+    total = best.where(F.col("node_id") == F.lit(target)).select(F.col("best.distance").alias("cost"))
+    return path.join(best, path["node"] == best["node_id"]).crossJoin(F.broadcast(total)).select("node_id", "cost", F.col("best.hops").alias("index"))  # one row
 
 
 def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -267,31 +290,39 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(ends, "id", "left_anti")
 
 
-def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(source_id, target_id): undirected edges whose removal disconnects their ends; parallel edges are never bridges.
-
-    Every non-tree edge of a breadth-first forest gets 64 pseudo-random bits. A
-    tree edge's bits are the exclusive or of all that touch the subtree below it,
-    summed level by level; they are zero exactly if no non-tree edge leaves the
-    subtree (up to a chance of 2^-64 for each edge).
-    """
+def _forest(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(undirected pairs a < b with their number k, breadth-first forest of (v, parent p, depth d), its depth)."""
     pairs = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    pairs = materialise(pairs, "bridge-pairs")
-    both = materialise(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(pairs.select("b", "a")), "bridge-both")
+    pairs = materialise(pairs, "forest-pairs")
+    both = materialise(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(pairs.select("b", "a")), "forest-both")
     roots = wcc(nodes, edges).where("node_id = component_id").select(F.col("node_id").alias("v"))
-    frontier = materialise(roots.select("v", F.lit(None).cast("long").alias("p"), F.lit(0).alias("d")), "bridge-tree")
+    frontier = materialise(roots.select("v", F.lit(None).cast("long").alias("p"), F.lit(0).alias("d")), "forest")
     tree, depth = frontier, 0
     while True:
         depth += 1
         next_ = both.join(frontier.select(F.col("v").alias("x")), "x").groupBy("y").agg(F.min("x").alias("p")).select(F.col("y").alias("v"), "p", F.lit(depth).alias("d"))
-        frontier = materialise(next_.join(tree.select("v"), "v", "left_anti"), "bridge-tree")
+        frontier = materialise(next_.join(tree.select("v"), "v", "left_anti"), "forest")
         if frontier.isEmpty():
             break
         tree = tree.unionAll(frontier)
-    tree = materialise(tree, "bridge-tree")
-    in_tree = tree.where("p IS NOT NULL").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b"), F.lit(True).alias("t"))
+    return pairs, materialise(tree, "forest"), depth
+
+
+def _in_tree(tree: DataFrame) -> DataFrame:
+    return tree.where("p IS NOT NULL").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b"), F.lit(True).alias("t"))
+
+
+def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source_id, target_id): undirected edges whose removal disconnects their ends; parallel edges are never bridges.
+
+    Every non-tree edge of a breadth-first forest gets 64 pseudo-random bits. A
+    tree edge's bits are the exclusive or of all that touch the subtree below it,
+    summed level by level; they are zero exactly if no non-tree edge leaves the
+    subtree (up to a chance of 2^-64 for each edge).
+    """
+    pairs, tree, depth = _forest(nodes, edges)
     # A second parallel edge of a tree edge is a non-tree edge.
-    rest = pairs.join(in_tree, ["a", "b"], "left").where("t IS NULL OR k > 1").select("a", "b", F.xxhash64("a", "b", F.lit("bridge")).alias("r"))
+    rest = pairs.join(_in_tree(tree), ["a", "b"], "left").where("t IS NULL OR k > 1").select("a", "b", F.xxhash64("a", "b", F.lit("bridge")).alias("r"))
     own = rest.select(F.col("a").alias("v"), "r").unionAll(rest.select("b", "r")).groupBy("v").agg(F.bit_xor("r").alias("r"))
     level = materialise(tree.join(own, "v", "left").select("v", "p", "d", F.coalesce("r", F.lit(0).cast("long")).alias("r")), "bridge-own")
     below, found = None, None
@@ -305,6 +336,76 @@ def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found if found is not None else pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")).limit(0)
 
 
+def _before_siblings(rows: DataFrame) -> DataFrame:
+    """``rows(v, p, size)`` with ``before``: the sizes of the smaller children of the same parent.
+
+    Sums run over ranges of all rows in the order of (p, v), so a parent with a
+    third of all nodes is spread over as many ranges as its children fill.
+    """
+    ranges = materialise(rows.repartitionByRange("p", "v").withColumn("part", F.spark_partition_id()), "sibling-ranges")
+    sums = ranges.groupBy("part").agg(F.sum("size").alias("s"))  # a row for each range
+    offsets = materialise(sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("offset")), "sibling-offsets")
+    within = F.sum("size").over(Window.partitionBy("part").orderBy("p", "v"))
+    run = ranges.withColumn("r", within - F.col("size")).join(offsets, "part").select("v", "p", "size", (F.col("r") + F.col("offset")).alias("r"))
+    run = materialise(run, "sibling-sums")
+    first = run.groupBy("p").agg(F.min("r").alias("least"))
+    return run.join(first, "p").select("v", "p", "size", (F.col("r") - F.col("least")).alias("before"))
+
+
+def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id): nodes whose removal disconnects their component.
+
+    Blocks after Tarjan and Vishkin over a breadth-first forest: subtree sizes go
+    up and preorder numbers down the levels, then each subtree's least and
+    largest number among the ends of its non-tree edges goes up. Tree edges (named
+    by their lower ends) of one block become connected, and a node whose tree
+    edges lie in several blocks is an articulation point.
+    """
+    pairs, tree, depth = _forest(nodes, edges)
+    levels: list[DataFrame] = [None] * depth
+    below = None
+    for d in range(depth - 1, -1, -1):
+        now = tree.where(F.col("d") == d).select("v", "p")
+        if below is None:
+            now = now.withColumn("size", F.lit(1).cast("long"))
+        else:
+            inner = below.groupBy("p").agg(F.sum("size").alias("inner")).withColumnRenamed("p", "v")
+            now = now.join(inner, "v", "left").select("v", "p", (1 + F.coalesce("inner", F.lit(0))).alias("size"))
+        below = levels[d] = materialise(now, "block-sizes")
+    numbered = levels[0].select("v", "p", "size", F.lit(0).cast("long").alias("pre"))  # each tree has numbers of its own
+    placed = [numbered]
+    for d in range(1, depth):
+        up = placed[-1].select(F.col("v").alias("p"), F.col("pre").alias("pp"))
+        placed.append(materialise(_before_siblings(levels[d]).join(up, "p").select("v", "p", "size", (F.col("pp") + 1 + F.col("before")).alias("pre")), "block-numbers"))
+    number = placed[0]
+    for part in placed[1:]:
+        number = number.unionAll(part)
+    number = materialise(number, "block-numbers")
+    rest = pairs.join(_in_tree(tree), ["a", "b"], "left").where("t IS NULL").select("a", "b")
+    ends = lambda c: number.select(F.col("v").alias(c), F.col("pre").alias(f"pre_{c}"), F.col("size").alias(f"size_{c}"))
+    rest = materialise(rest.join(ends("a"), "a").join(ends("b"), "b"), "block-rest")
+    reach = rest.select(F.col("a").alias("v"), F.col("pre_b").alias("r")).unionAll(rest.select("b", "pre_a"))
+    own = number.select("v", F.col("pre").alias("r")).unionAll(reach).groupBy("v").agg(F.min("r").alias("low"), F.max("r").alias("high"))
+    own = materialise(tree.join(own, "v").select("v", "p", "d", "low", "high"), "block-own")
+    up, reaches = None, None
+    for d in range(depth - 1, 0, -1):
+        now = own.where(F.col("d") == d).select("v", "p", "low", "high")
+        if up is not None:
+            now = now.unionAll(up.select(F.col("p").alias("v"), F.lit(None).cast("long").alias("p"), "low", "high")).groupBy("v").agg(F.max("p").alias("p"), F.min("low").alias("low"), F.max("high").alias("high"))
+        up = materialise(now, "block-reach")
+        reaches = up if reaches is None else reaches.unionAll(up)
+    if reaches is None:
+        return nodes.select(F.col("id").alias("node_id")).limit(0)
+    apart = (F.col("pre_a") + F.col("size_a") <= F.col("pre_b")) | (F.col("pre_b") + F.col("size_b") <= F.col("pre_a"))
+    sideways = rest.where(apart).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    parent = number.where("p IS NOT NULL").select(F.col("v").alias("p"), "pre", "size")  # a root's edges join through none above
+    over = reaches.join(parent, "p").where("low < pre OR high >= pre + size").select(F.col("v").alias("src"), F.col("p").alias("dst"))
+    lower = tree.where("p IS NOT NULL").select(F.col("v").alias("id"))
+    blocks = wcc(lower, materialise(sideways.unionAll(over), "block-links")).select(F.col("node_id").alias("v"), "component_id")
+    touched = tree.where("p IS NOT NULL").join(blocks, "v").select(F.explode(F.array("v", "p")).alias("node_id"), "component_id")
+    return touched.groupBy("node_id").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x < y").select("node_id")
+
+
 def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node_id, community_id, level): one level of modularity moves; level is always 0.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,6 +102,70 @@ def violations(df: DataFrame, key: str, rules: dict[str, Column], unique: list[s
     return out
 
 
+@dataclass(frozen=True)
+class Property:
+    """One declared property of a node type."""
+
+    name: str
+    value_type: str
+    required: bool = False
+    unique: bool = False
+    immutable: bool = False
+    low: float | None = None
+    high: float | None = None
+    allowed: tuple = ()
+    default: str | None = None
+
+    def rules(self) -> dict[str, Column]:
+        return rule(self.name, self.required, self.low, self.high, allowed=list(self.allowed) or None)
+
+    def constraints(self) -> list[tuple[str, str]]:
+        """(type, description) of what values have to meet."""
+        out = [("unique", f"Property '{self.name}' must be unique")] if self.unique else []
+        if self.immutable:
+            out.append(("immutable", f"Property '{self.name}' cannot be changed after creation"))
+        if self.low is not None or self.high is not None:
+            sides = [f"{sign} {x}" for sign, x in ((">=", self.low), ("<=", self.high)) if x is not None]
+            out.append(("range", f"Property '{self.name}' must be " + (f"in range [{self.low}, {self.high}]" if len(sides) == 2 else sides[0])))
+        if self.allowed:
+            out.append(("enum", f"Property '{self.name}' must be one of {len(self.allowed)} allowed values"))
+        return out
+
+
+Types = dict[str, tuple[Property, ...]]
+
+
+def schema(spark: SparkSession, types: Types, label: str) -> DataFrame:
+    """(property, value_type, required, default) of a declared label; no rows for another."""
+    rows = [(p.name, p.value_type, p.required, p.default) for p in types.get(label, ())]
+    return spark.createDataFrame(rows, "property string, value_type string, required boolean, default string")
+
+
+def constraints(spark: SparkSession, types: Types) -> DataFrame:
+    """(label, constraint_type, properties, description) of all declared types."""
+    rows = [(label, kind, p.name, said) for label, properties in types.items() for p in properties for kind, said in p.constraints()]
+    return spark.createDataFrame(rows, "label string, constraint_type string, properties string, description string")
+
+
+def schema_dump(spark: SparkSession, types: Types, graph: Graph) -> DataFrame:
+    """(schema): one text of all declared node types and the graph's edge types, in the order of their labels."""
+    nodes = [f"(:{label} {{" + ", ".join(p.name + ": " + p.value_type + " required" * p.required + " unique" * p.unique for p in types[label]) + "})" for label in sorted(types)]
+    edges = [f"(:{t.src_label})-[:{label}]->(:{t.dst_label})" for label, t in sorted(graph.edges.items())]
+    return spark.createDataFrame([("\n".join(nodes + edges),)], "schema string")
+
+
+def repair(graph: Graph) -> DataFrame:
+    """(action, detail): what would mend the graph, without doing it: edges to delete as an end is missing, and repeats of an edge to delete."""
+    from pgspark.plans import algorithms
+
+    nodes = graph.all_nodes().select(F.concat_ws(":", "label", "id").alias("id"))
+    ends = graph.all_edges().select("label", F.concat_ws(":", "src_label", "src").alias("src"), F.concat_ws(":", "dst_label", "dst").alias("dst"))
+    named = F.concat(F.lit("("), "src", F.lit(")-[:"), "label", F.lit("]->("), "dst", F.lit(")"))
+    lost = algorithms.dangling(nodes, ends).select(F.lit("delete_dangling_edge").alias("action"), F.concat(named, F.lit(": an end is missing")).alias("detail"))
+    again = algorithms.duplicates(ends, "label", "src", "dst").select(F.lit("delete_duplicate_edges").alias("action"), F.concat(named, F.lit(": keep 1, remove "), (F.col("total") - 1).cast("string")).alias("detail"))
+    return lost.unionAll(again)
+
+
 # -- versions ----------------------------------------------------------------------
 
 

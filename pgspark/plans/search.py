@@ -96,6 +96,23 @@ def community_search(hits: DataFrame, communities: DataFrame) -> DataFrame:
     return hits.join(communities, "node_id", "left").join(sizes, "community_id", "left").select("node_id", "score", "community_id", "size")
 
 
+def community_members(hits: DataFrame, communities: DataFrame, labels: DataFrame) -> DataFrame:
+    """(community_id, score, node_id, label): every member of the communities that hits lie in, with the best hit's score.
+
+    A row for each member, so that a community of any size is no single value; ``labels`` is (node_id, label).
+    """
+    best = hits.join(communities, "node_id").groupBy("community_id").agg(F.max("score").alias("score"))
+    return communities.join(best, "community_id").join(labels, "node_id", "left").select("community_id", "score", "node_id", "label")
+
+
+def context(retrieved: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(nodes, context): the texts of the ``k`` best retrieved nodes, best first, one a line, with what led to them."""
+    best = retrieved.orderBy(F.desc("score"), "node_id").limit(k).join(texts, "node_id", "left")
+    line = F.concat(F.lit("["), "source", F.lit(" "), F.col("depth").cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "node_id", line.alias("line"))))
+    return best.agg(F.count(F.lit(1)).alias("nodes"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("context"))
+
+
 def with_path(hits: DataFrame, parents: DataFrame, names: DataFrame, hops: int) -> DataFrame:
     """(node_id, score, path): names from the outermost container down to the hit, joined by " > ".
 

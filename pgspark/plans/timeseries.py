@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pgspark.functions.scalar import floor_to
+
 KEYS = ["entity_id", "property"]
 SECOND = 1_000_000_000
 AGGREGATES = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": lambda c: F.count(c).cast("double")}
@@ -76,9 +78,9 @@ def aggregate(samples: DataFrame, now: int, duration: int, fn: str) -> DataFrame
 
 def windows(samples: DataFrame, width: int, fn: str) -> DataFrame:
     """(keys, window_start, window_end, value): tumbling windows from each series' first sample."""
-    first = F.min("timestamp").over(Window.partitionBy(*KEYS))
-    start = (first + F.floor((F.col("timestamp") - first) / F.lit(width)).cast("long") * width).alias("window_start")
-    placed = samples.select(*KEYS, "value", start)
+    first = samples.groupBy(*KEYS).agg(F.min("timestamp").alias("_first"))
+    start = (F.col("_first") + floor_to(F.col("timestamp") - F.col("_first"), width)).alias("window_start")
+    placed = samples.join(first, KEYS).select(*KEYS, "value", start)
     return placed.groupBy(*KEYS, "window_start").agg(AGGREGATES[fn](F.col("value")).alias("value")).select(*KEYS, "window_start", (F.col("window_start") + width).alias("window_end"), "value")
 
 
@@ -113,17 +115,24 @@ def scoped_aggregate(samples: DataFrame, members: DataFrame, fn: str) -> DataFra
 
 
 def warm(samples: DataFrame, width: int = 60 * SECOND) -> DataFrame:
-    """Epoch-aligned rollup: window_start, min, max, sum, count, mean, stddev_pop, p50, p90, p95, p99."""
-    start = (F.floor(F.col("timestamp") / F.lit(width)).cast("long") * width).alias("window_start")
-    quantile = lambda q: F.percentile_approx("value", q, 10_000).alias(f"p{int(q * 100)}")
-    return samples.groupBy(*KEYS, start).agg(F.min("value").alias("min"), F.max("value").alias("max"), F.sum("value").alias("sum"), F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("stddev"), *[quantile(q) for q in (0.5, 0.9, 0.95, 0.99)])
+    """Epoch-aligned rollup: window_start, min, max, sum, count, mean, stddev_pop, p50, p90, p95, p99.
+
+    Deviation and quantiles of a single sample are null.
+    """
+    start = floor_to(F.col("timestamp"), width).alias("window_start")
+    several = lambda c: F.when(F.count("value") > 1, c)
+    quantile = lambda q: several(F.percentile_approx("value", q, 10_000)).alias(f"p{int(q * 100)}")
+    return samples.groupBy(*KEYS, start).agg(F.min("value").alias("min"), F.max("value").alias("max"), F.sum("value").alias("sum"), F.count("value").alias("count"), F.avg("value").alias("mean"), several(F.stddev_pop("value")).alias("stddev"), *[quantile(q) for q in (0.5, 0.9, 0.95, 0.99)])
 
 
 def percentile(samples: DataFrame, q: float, width: int = 60 * SECOND) -> DataFrame:
-    """(keys, value): count-weighted mean of the windows' quantiles; q is taken to the nearest of 0.5, 0.9, 0.95, 0.99."""
+    """(keys, value): count-weighted mean of the windows' quantiles; q is taken to the nearest of 0.5, 0.9, 0.95, 0.99.
+
+    Windows of a single sample have no quantile and do not count.
+    """
     near = min((0.5, 0.9, 0.95, 0.99), key=lambda x: abs(x - q))
     c = F.col(f"p{int(near * 100)}")
-    return warm(samples, width).groupBy(*KEYS).agg((F.sum(c * F.col("count")) / F.sum("count")).alias("value"))
+    return warm(samples, width).groupBy(*KEYS).agg((F.sum(c * F.col("count")) / F.sum(F.when(c.isNotNull(), F.col("count")))).alias("value"))
 
 
 def downsample(warm_table: DataFrame, start: int, end: int) -> DataFrame:
@@ -133,7 +142,7 @@ def downsample(warm_table: DataFrame, start: int, end: int) -> DataFrame:
 
 def hourly(warm_table: DataFrame) -> DataFrame:
     """Windows merged by hour; no deviation or quantiles, as they do not merge."""
-    start = (F.floor(F.col("window_start") / F.lit(3600 * SECOND)).cast("long") * 3600 * SECOND).alias("window_start")
+    start = floor_to(F.col("window_start"), 3600 * SECOND).alias("window_start")
     merged = warm_table.groupBy(*KEYS, start).agg(F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"), F.sum("count").alias("total"))
     return merged.select(*KEYS, "window_start", "min", "max", (F.col("sum") / F.col("total")).alias("mean"), "total")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pgspark.functions import scalar, spatial, vector
@@ -12,7 +12,8 @@ from pgspark.graph import Label, prop
 from pgspark.operators import mutations, paths, rows
 from pgspark.plans import algorithms, catalog, search
 from pgspark.plans import timeseries as ts
-from pgspark.tables import graph, samples, sells_with, table
+from pgspark.sources import files
+from pgspark.tables import CUSTOMERS, NATIONS, ORDERS, SUPPLIERS, deliveries, ends, graph, ordered, reach, samples, sells_with, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -122,7 +123,7 @@ def pattern_join(spark, d):
     return c.join(s).select(prop("n.n_name").alias("nation"), prop("c").alias("c"), prop("s").alias("s"))
 
 
-@query("SELECT count(*) AS pairs FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE hash(a) <> hash(b) AND a.l_quantity > 40 AND b.l_quantity > 40")
+@query("SELECT count(*) AS pairs FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE NOT (a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND a.l_linenumber = b.l_linenumber AND a.l_quantity = b.l_quantity AND a.l_extendedprice = b.l_extendedprice AND a.l_discount = b.l_discount AND a.l_tax = b.l_tax AND a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus AND a.l_shipdate = b.l_shipdate) AND a.l_quantity > 40 AND b.l_quantity > 40")
 def different_edges(spark, d):
     g = graph(spark, d)
     b = g.match("o", "orders").expand("o", "contains", "p", edge_var="a").expand("o", "contains", "q", edge_var="b")
@@ -201,6 +202,52 @@ def unwind(spark, d):
     return rows.unwind(p, F.col("ws"), "word").drop("ws")
 
 
+@query("SELECT c_custkey AS c, round(c_acctbal * 2, 2) AS twice FROM customer WHERE c_acctbal * 2 > 10000")
+def let(spark, d):
+    b = graph(spark, d).match("c", "customer").let(twice=money(prop("c.c_acctbal") * 2))
+    return b.where(F.col("twice") > 10000).select(prop("c").alias("c"), F.col("twice"))
+
+
+@query("SELECT c_custkey AS c, coalesce((SELECT string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000), '') AS orders FROM customer")
+def collect_subquery(spark, d):
+    g = graph(spark, d)
+    found = g.match("c", "customer").expand("c", "placed", "o").where(prop("o.o_totalprice") > 300000)
+    return g.match("c", "customer").collect_of(found, prop("o"), "os").select(prop("c").alias("c"), F.array_join(F.transform("os", lambda x: x.cast("string")), ",").alias("orders"))
+
+
+@query("SELECT c_custkey AS c, CASE WHEN n_regionkey <> 2 THEN n_name END AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def value_subquery(spark, d):
+    g = graph(spark, d)
+    found = g.match("c", "customer").expand("c", "customer_in", "n").where(prop("n.n_regionkey") != 2)
+    return g.match("c", "customer").value_of(found, prop("n.n_name"), "nation").select(prop("c").alias("c"), F.col("nation"))
+
+
+@query("SELECT n_name AS nation, richest, customers FROM nation, LATERAL (SELECT max(c_acctbal) AS richest, count(*) AS customers FROM customer WHERE c_nationkey = n_nationkey)")
+def call_subquery(spark, d):
+    g, c = graph(spark, d), table(spark, d, "customer")
+    b = g.match("n", "nation").call(lambda outer: c.where(F.col("c_nationkey") == outer("n")).select(F.max("c_acctbal").alias("richest"), F.count(F.lit(1)).alias("customers")))
+    return b.select(prop("n.n_name").alias("nation"), F.col("richest"), F.col("customers"))
+
+
+@query("SELECT c_custkey AS c, property, arg_max(value, ts) AS value FROM customer JOIN (SELECT user_id, event_type AS property, ts, value FROM events) ON user_id = c_custkey GROUP BY 1, 2")
+def call_procedure(spark, d):
+    b = graph(spark, d).match("c", "customer").call_procedure(ts.latest(samples(spark, d)), {"c": "entity_id"}, {"property": "property", "value": "value"})
+    return b.select(prop("c").alias("c"), F.col("property"), F.col("value"))
+
+
+@query("SELECT n_name AS nation, n, r_name AS region FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE n > 5")
+def next_statement(spark, d):
+    b = graph(spark, d).match("n", "nation").expand("n", "customer_in", "c", "in")
+    b = b._with(b.df.groupBy("n", "n__n_name").agg(F.count(F.lit(1)).alias("count"))).next({"n": prop("n"), "name": prop("n.n_name"), "count": F.col("count")})
+    return b.where("count > 5").expand("n", "in_region", "r").select(F.col("name").alias("nation"), F.col("count").alias("n"), prop("r.r_name").alias("region"))
+
+
+@query("SELECT o_orderkey AS id, l_orderkey::VARCHAR AS element, 'contains' AS kind, l_orderkey AS a, l_partkey AS b, true AS source, p_size > 25 AS destination, 'part' AS labels, false AS party, l_discount IS NOT NULL AS has, false AS lacks, 'p_name,p_brand,p_type,p_size,p_retailprice' AS keys FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45")
+def element_functions(spark, d):
+    b = graph(spark, d).match("o", "orders").expand("o", "contains", "p", edge_var="e").where(prop("e.l_quantity") > 45)
+    return b.select(b.id("o").alias("id"), b.element_id("o").alias("element"), b.type("e").alias("kind"), b.start_node("e").alias("a"), b.end_node("e").alias("b"), b.is_source_of("o", "e").alias("source"), (b.is_destination_of("p", "e") & (prop("p.p_size") > 25)).alias("destination"), F.array_join(b.labels_of("p"), ",").alias("labels"), b.is_labeled("p", Label("party")).alias("party"), b.property_exists("e", "l_discount").alias("has"), b.property_exists("p", "weight").alias("lacks"), F.array_join(b.keys("p"), ",").alias("keys"))
+
+
 _A = "SELECT c_mktsegment AS v FROM customer WHERE c_acctbal > 8000"
 _B = "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'OTHER' END AS v FROM supplier"
 
@@ -303,6 +350,58 @@ def spatial_distance(spark, d):
     return pairs.select(F.col("k").alias("a"), F.round(spatial.st_distancesphere(F.col("g"), F.col("h")), 1).alias("m"))
 
 
+@query("SELECT c_custkey AS c, lower(c_name) AS lo, trim('  ' || c_name || ' ') AS t, ltrim('  ' || c_name) AS lt, rtrim(c_name || '  ') AS rt, ends_with(c_name, '1') AS e, starts_with(c_name, 'C') AS s, contains(c_name, '00') AS k, length(c_name) AS n, length(c_name) AS m, nfc_normalize(c_name) AS nf, true AS norm, contains(lower(c_name), 'customer') AND contains(lower(c_name), '01') AS tm, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS co, c_custkey::VARCHAR AS st, try_cast(substring(c_name, 10) AS BIGINT) AS i, c_acctbal AS f, c_custkey % 2 <> 0 AS b, 'STRING' AS ty, trim(c_mktsegment, 'BG') AS tr, true AS typed FROM customer")
+def text_functions(spark, d):
+    f, n, c = scalar.FUNCTIONS, F.col("c_name"), F.col
+    pad = lambda a, b: F.concat(F.lit(a), n, F.lit(b))
+    return table(spark, d, "customer").select(
+        c("c_custkey").alias("c"), f["lower"](n).alias("lo"), f["trim"](pad("  ", " ")).alias("t"), f["ltrim"](pad("  ", "")).alias("lt"), f["rtrim"](pad("", "  ")).alias("rt"), f["ends_with"](n, F.lit("1")).alias("e"), f["starts_with"](n, F.lit("C")).alias("s"), f["contains"](n, F.lit("00")).alias("k"),
+        f["size"](n).cast("long").alias("n"), f["length"](n).cast("long").alias("m"), f["normalize"](n).alias("nf"), f["is_normalized"](n).alias("norm"), f["text_match"](n, F.lit("Customer 01")).alias("tm"), f["coalesce"](f["nullif"](c("c_mktsegment"), F.lit("BUILDING")), F.lit("none")).alias("co"),
+        f["to_string"](c("c_custkey")).alias("st"), f["tointeger"](F.substring(n, 10, 99)).alias("i"), f["tofloat"](c("c_acctbal").cast("string")).alias("f"), f["toboolean"](c("c_custkey") % 2).alias("b"), f["value_type"](n).alias("ty"), f["trim_of"](c("c_mktsegment"), "BG").alias("tr"), f["is_typed"](n, "string").alias("typed"),
+    )
+
+
+@query("SELECT p_partkey AS p, abs(10 - p_size) AS a, round(p_size / 4.0) AS r, round(pow(p_size, 1.5), 6) AS w, round(log10(p_size), 8) AS l, round(exp(x), 6) AS e, round(sin(x), 8) AS s, round(cos(x), 8) AS c, round(tan(x), 6) AS t, round(cot(x), 6) AS ct, round(sinh(x), 6) AS sh, round(cosh(x), 6) AS ch, round(tanh(x), 8) AS th, round(asin(x / 8), 8) AS asn, round(acos(x / 8), 8) AS acs, round(atan(x), 8) AS atn, round(radians(p_size), 8) AS rd, round(pi(), 8) AS pi, p_size % 7 AS m, (4611686018427387904 + p_partkey) // 7 AS q, -((4611686018427387904 + p_partkey) // 7) AS nq FROM (SELECT *, p_size % 7 + 0.5::DOUBLE AS x FROM part)")
+def math_functions(spark, d):
+    f, size, x = scalar.FUNCTIONS, F.col("p_size"), F.col("x")
+    big = F.lit(1 << 62) + F.col("p_partkey")
+    df = table(spark, d, "part").withColumn("x", size % 7 + F.lit(0.5))
+    rounded = {"e": ("exp", x, 6), "s": ("sin", x, 8), "c": ("cos", x, 8), "t": ("tan", x, 6), "ct": ("cot", x, 6), "sh": ("sinh", x, 6), "ch": ("cosh", x, 6), "th": ("tanh", x, 8), "asn": ("asin", x / 8, 8), "acs": ("acos", x / 8, 8), "atn": ("atan", x, 8), "rd": ("radians", size, 8), "l": ("log10", size, 8)}
+    return df.select(F.col("p_partkey").alias("p"), f["abs"](10 - size).alias("a"), f["round"](size / 4).alias("r"), F.round(f["power"](size, F.lit(1.5)), 6).alias("w"), *[F.round(f[name](v), k).alias(c) for c, (name, v, k) in rounded.items()], F.round(f["pi"](), 8).alias("pi"), f["mod"](size, F.lit(7)).alias("m"), f["div"](big, F.lit(7)).alias("q"), f["div"](-big, F.lit(7)).alias("nq"))
+
+
+@query("WITH l AS (SELECT p_partkey AS p, range(1, p_size % 7 + 1) AS xs FROM part) SELECT p, xs[1] AS h, xs[-1] AS z, array_to_string(xs[2:], ',') AS tl, array_to_string(list_append(xs, 9), ',') AS ap, array_to_string(list_prepend(9, xs), ',') AS pp, array_to_string(list_reverse(xs), ',') AS rv, array_to_string(list_sort(list_reverse(xs)), ',') AS so, list_contains(xs, 3) AS co, len(xs)::INTEGER AS n, len(xs)::INTEGER AS m, array_to_string(xs[2:4], ',') AS sl, list_sum(xs)::DOUBLE AS su, list_avg(xs) AS av, list_min(xs) AS mi, list_max(xs) AS ma, len(xs) AS ct, len(list_distinct(list_transform(xs, lambda x: x % 2))) = len(xs) AS df, 'LIST' AS ty FROM l")
+def list_functions(spark, d):
+    f, xs = scalar.FUNCTIONS, F.col("xs")
+    base = table(spark, d, "part").select(F.col("p_partkey").alias("p"), scalar.int_range(F.lit(1), F.col("p_size") % 7).cast("array<long>").alias("xs"))
+    nine = F.lit(9).cast("long")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    odd = F.transform(xs, lambda x: x % 2)
+    return base.select("p", f["head"](xs).alias("h"), f["last"](xs).alias("z"), joined(f["tail"](xs)).alias("tl"), joined(f["list_append"](xs, nine)).alias("ap"), joined(f["list_prepend"](xs, nine)).alias("pp"), joined(f["list_reverse"](xs)).alias("rv"), joined(f["list_sort"](F.reverse(xs))).alias("so"), f["list_contains"](xs, F.lit(3).cast("long")).alias("co"), f["size"](xs).alias("n"), f["length"](xs).alias("m"), joined(f["list_slice"](xs, F.lit(1), F.lit(4))).alias("sl"), rows.list_sum(xs).alias("su"), rows.list_avg(xs).alias("av"), rows.list_min(xs).alias("mi"), rows.list_max(xs).alias("ma"), rows.list_count(xs).alias("ct"), (F.size(F.array_distinct(odd)) == F.size(odd)).alias("df"), f["value_type"](xs).alias("ty"))
+
+
+@query("SELECT o_orderkey AS o, strftime(o_orderdate - INTERVAL 1 MICROSECOND, '%Y-%m-%dT%H:%M:%SZ') AS s, epoch_us(o_orderdate) * 1000 + 5400000000000 AS a, epoch_us(o_orderdate) * 1000 - 90000000000 AS b, 5400000000000 AS dur, day(o_orderdate) AS dy, hour(o_orderdate) AS h, minute(o_orderdate) AS mi, strftime(o_orderdate::DATE + INTERVAL 1 DAY, '%Y-%m-%d') AS nx, strftime(o_orderdate::DATE - INTERVAL 1 DAY, '%Y-%m-%d') AS pv, epoch_us(o_orderdate) * 1000 - 90000000000 - 7 AS btw, 37230000000000 AS tod, 'DATE' AS ty FROM orders")
+def time_functions(spark, d):
+    f, t = scalar.FUNCTIONS, F.col("o_orderdate")
+    nanos = F.unix_micros(t.cast("timestamp")) * 1000
+    day = f["date"](t)
+    long = lambda n: F.lit(n).cast("long")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd")
+    back = f["date_sub"](nanos, f["duration"](F.lit("90s")))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("o"), f["timestamp_to_string"](nanos - 1).alias("s"), f["date_add"](nanos, f["duration"](F.lit("PT1H30M"))).alias("a"), back.alias("b"), f["duration"](F.lit("1h30m")).alias("dur"), f["extract"]("DAY", t).alias("dy"), f["extract"]("HOUR", t).alias("h"), f["extract"]("MINUTE", t).alias("mi"), shown(scalar.date_plus(day, long(86_400_000_000_000))).alias("nx"), shown(scalar.date_plus(day, long(-1))).alias("pv"), f["duration_between"](back, long(7)).alias("btw"), f["time"](F.lit("10:20:30")).alias("tod"), f["value_type"](day).alias("ty"))
+
+
+@query("SELECT s_suppkey AS s, w * w AS area, 4.0 * w AS ring, 'Polygon' AS kind, w > 1.5 AS holds, w > 1.5 AS within, true AS valid, w * w AS box, w = 3 AS same, 1.5::DOUBLE AS x, 1.5::DOUBLE AS y, 111195.08 * w <= 250000 AS near, w >= 2 AS meets, 'GEOMETRY' AS ty FROM (SELECT s_suppkey, (s_suppkey % 5 + 1)::DOUBLE AS w FROM supplier)")
+def spatial_functions(spark, d):
+    f, w, zero = scalar.FUNCTIONS, F.col("w"), F.lit(0.0)
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    square = lambda side: f["st_makepolygon"](F.array(at(zero, zero), at(side, zero), at(side, side), at(zero, side)))
+    g, p = square(w), f["st_point"](F.lit(1.5), F.lit(1.5))
+    df = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 5 + 1).cast("double").alias("w"))
+    near = f["st_dwithin"](f["st_point"](zero, zero), f["st_point"](zero, w), F.lit(250000.0))
+    return df.select(F.col("s_suppkey").alias("s"), f["st_area"](g).alias("area"), f["st_length"](g).alias("ring"), f["st_geometrytype"](g).alias("kind"), f["st_contains"](g, p).alias("holds"), f["st_within"](p, g).alias("within"), f["st_isvalid"](g).alias("valid"), f["st_area"](f["st_envelope"](g)).alias("box"), f["st_equals"](g, square(F.lit(3.0))).alias("same"), f["st_x"](p).alias("x"), f["st_y"](p).alias("y"), near.alias("near"), f["st_intersects"](g, p).alias("meets"), f["value_type"](g).alias("ty"))
+
+
 # -- paths -------------------------------------------------------------------------
 
 
@@ -344,27 +443,63 @@ def var_expand_acyclic(spark, d):
     return found.groupBy("node", "depth").agg(F.count(F.lit(1)).alias("paths"))
 
 
-@query(f"WITH RECURSIVE e AS ({_RING}), p AS (SELECT n_nationkey::BIGINT AS start, n_nationkey::BIGINT AS node, 0 AS depth, [n_nationkey]::BIGINT[] AS ns FROM nation WHERE n_nationkey < 3 UNION ALL SELECT start, dst, depth + 1, list_append(ns, dst) FROM p JOIN e ON node = src WHERE depth < 5) SELECT start, node, depth, count(*) AS paths FROM (SELECT *, rank() OVER (PARTITION BY start, node ORDER BY depth) AS r FROM p WHERE depth >= 1) WHERE r = 1 GROUP BY ALL")
+_ALL_STARTS = f"WITH RECURSIVE e AS ({_RING}), p AS (SELECT n_nationkey::BIGINT AS start, n_nationkey::BIGINT AS node, 0 AS depth FROM nation UNION ALL SELECT start, dst, depth + 1 FROM p JOIN e ON node = src WHERE depth < 4)"
+
+
+def _nations(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("start"))
+
+
+@query(_ALL_STARTS + " SELECT start, node, depth, count(*) AS paths FROM (SELECT *, rank() OVER (PARTITION BY start, node ORDER BY depth) AS r FROM p WHERE depth >= 1) WHERE r = 1 GROUP BY ALL")
 def all_shortest(spark, d):
-    starts = table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").cast("long").alias("start"))
-    found = paths.shortest(paths.var_expand(starts, _ring(spark, d), 1, 5), every=True, per=("start", "node"))
+    found = paths.shortest(paths.var_expand(_nations(spark, d), _ring(spark, d), 1, 4), every=True, per=("start", "node"))
     return found.groupBy("start", "node", "depth").agg(F.count(F.lit(1)).alias("paths"))
 
 
-@query(f"WITH RECURSIVE e AS ({_RING}), p AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM p JOIN e ON node = src WHERE depth < 25) SELECT node, min(depth) AS depth FROM p GROUP BY node")
+@query(_ALL_STARTS + " SELECT start, node, min(depth) AS depth FROM p WHERE depth >= 1 GROUP BY ALL")
+def any_shortest(spark, d):
+    return paths.shortest(paths.var_expand(_nations(spark, d), _ring(spark, d), 1, 4), every=False, per=("start", "node")).select("start", "node", "depth")
+
+
+@query(f"WITH RECURSIVE e AS ({_RING}), p AS (SELECT n_nationkey::BIGINT AS start, n_nationkey::BIGINT AS node, 0 AS depth, [n_nationkey::BIGINT] AS ns FROM nation UNION ALL SELECT start, dst, depth + 1, list_append(ns, dst) FROM p JOIN e ON node = src WHERE depth < 4 AND (depth = 0 OR node <> start) AND (dst = start OR NOT list_contains(ns, dst))) SELECT start, node, depth, count(*) AS paths FROM p WHERE depth >= 1 GROUP BY ALL")
+def var_expand_simple(spark, d):
+    return paths.var_expand(_nations(spark, d), _ring(spark, d), 1, 4, "simple").groupBy("start", "node", "depth").agg(F.count(F.lit(1)).alias("paths"))
+
+
+@query(f"WITH RECURSIVE e AS ({_TREE}), p AS (SELECT r_regionkey::BIGINT + 1000 AS start, r_regionkey::BIGINT + 1000 AS node, 0 AS depth FROM region UNION ALL SELECT start, dst, depth + 1 FROM p JOIN e ON node = src) SELECT start, node, depth, depth AS edges, true AS trail, true AS acyclic, true AS simple FROM p")
+def var_expand_unbounded(spark, d):
+    """The quantifier ``*``, with the functions of a path variable."""
+    starts, f = table(spark, d, "region").select((F.col("r_regionkey") + 1000).cast("long").alias("start")), scalar.FUNCTIONS
+    path = F.struct("nodes", "edges")
+    return paths.var_expand(starts, _contains(spark, d), 0, None, "trail").select("start", "node", "depth", f["path_length"](path).alias("edges"), f["is_trail"](path).alias("trail"), f["is_acyclic"](path).alias("acyclic"), f["is_simple"](path).alias("simple"))
+
+
+_REACH = f"""
+n AS (SELECT n_regionkey::BIGINT AS start, n_nationkey::BIGINT + {NATIONS} AS node, 1 AS depth, 1.0::DOUBLE + n_nationkey % 4 AS w FROM nation),
+c AS (SELECT start, c_custkey + {CUSTOMERS} AS node, 2 AS depth, w + 1 + c_custkey % 5 AS w FROM customer JOIN n ON c_nationkey + {NATIONS} = node),
+o AS (SELECT start, o_orderkey + {ORDERS} AS node, 3 AS depth, w + 1 + o_orderkey % 3 AS w FROM orders JOIN c ON o_custkey + {CUSTOMERS} = node),
+a AS (SELECT DISTINCT start, start AS node, 0 AS depth, 0.0::DOUBLE AS w FROM n UNION ALL SELECT * FROM n UNION ALL SELECT * FROM c UNION ALL SELECT * FROM o)
+"""
+
+
+def _regions(spark, d):
+    return table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("start"))
+
+
+@query(f"WITH {_REACH} SELECT start, node, depth FROM a")
 def bfs_depth(spark, d):
-    return paths.bfs(spark.createDataFrame([(0,)], "start long"), _ring(spark, d)).select("node", "depth")
+    return paths.bfs(_regions(spark, d), reach(spark, d))
 
 
-@query("SELECT s_suppkey + 10000 AS start, count(*) AS ancestors FROM (SELECT s_suppkey, unnest([1, 2]) FROM supplier WHERE s_suppkey <= 20) GROUP BY 1")
+@query(f"WITH RECURSIVE e AS ({_TREE}), p AS (SELECT s_suppkey + 10000 AS start, s_suppkey + 10000 AS node FROM supplier UNION SELECT start, src FROM p JOIN e ON node = dst) SELECT start, count(*) AS ancestors FROM p WHERE node <> start GROUP BY 1")
 def ancestor_count(spark, d):
-    starts = table(spark, d, "supplier").where("s_suppkey <= 20").select((F.col("s_suppkey") + 10000).alias("start"))
+    starts = table(spark, d, "supplier").select((F.col("s_suppkey") + 10000).alias("start"))
     return paths.ancestors(starts, _contains(spark, d)).groupBy("start").agg(F.count(F.lit(1)).alias("ancestors"))
 
 
 # -- algorithms --------------------------------------------------------------------
 
-_PS = "SELECT DISTINCT l_partkey AS src, l_suppkey + 10000000 AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45"
+_PS = f"SELECT DISTINCT l_partkey AS src, l_suppkey + {SUPPLIERS} AS dst FROM lineitem"
 _PN = "SELECT src AS id FROM e UNION SELECT dst FROM e"
 
 
@@ -373,35 +508,60 @@ def degrees(spark, d):
     return algorithms.degrees(*sells_with(spark, d))
 
 
-@query(f"WITH RECURSIVE e0 AS ({_RING}), e AS (SELECT src, dst FROM e0 WHERE src < 8 AND dst < 8 AND src % 2 = dst % 2 UNION SELECT dst, src FROM e0 WHERE src < 8 AND dst < 8 AND src % 2 = dst % 2), n AS (SELECT n_nationkey::BIGINT AS id FROM nation), r AS (SELECT id, id AS reach FROM n UNION SELECT r.id, e.dst FROM r JOIN e ON reach = src) SELECT id AS node_id, min(reach) AS component_id FROM r GROUP BY id")
+@query(f"SELECT c_custkey AS node_id, c_custkey AS component_id FROM customer UNION ALL SELECT o_orderkey + {ORDERS}, o_custkey FROM orders")
 def wcc(spark, d):
-    nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-    return algorithms.wcc(nodes, _ring(spark, d).where("src < 8 AND dst < 8 AND src % 2 = dst % 2"))
+    return algorithms.wcc(*ordered(spark, d))
 
 
 def _pagerank_sql(rounds: int) -> str:
-    steps = [f"WITH e AS ({_RING}), k AS (SELECT src, count(*) AS k FROM e GROUP BY 1), s0 AS (SELECT n_nationkey::BIGINT AS id, 1.0 / 25 AS s FROM nation)"]
+    steps = [f"WITH e AS MATERIALIZED ({_PS}), k AS MATERIALIZED (SELECT src, count(*) AS k FROM e GROUP BY 1), n AS MATERIALIZED (SELECT id, count(*) OVER () AS n FROM ({_PN})), s0 AS MATERIALIZED (SELECT id, n, 1.0::DOUBLE / n AS s FROM n)"]
     for i in range(rounds):
-        steps.append(f"s{i + 1} AS (SELECT id, 0.15 / 25 + 0.85 * coalesce(r, 0) AS s FROM s{i} LEFT JOIN (SELECT dst, sum(s / k) AS r FROM e JOIN s{i} ON id = src JOIN k USING (src) GROUP BY dst) ON dst = id)")
+        lost = f"(SELECT coalesce(sum(s), 0) FROM s{i} WHERE id NOT IN (SELECT src FROM k))"
+        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT id, n, 0.15 / n + 0.85 * {lost} / n + 0.85 * coalesce(r, 0) AS s FROM s{i} LEFT JOIN (SELECT dst, sum(s / k) AS r FROM e JOIN s{i} ON id = src JOIN k USING (src) GROUP BY dst) ON dst = id)")
     return ", ".join(steps) + f" SELECT id AS node_id, round(s, 8) AS score FROM s{rounds}"
 
 
 @query(_pagerank_sql(10))
 def pagerank_10(spark, d):
-    nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-    return algorithms.pagerank(nodes, _ring(spark, d), rounds=10, tolerance=0.0).select("node_id", F.round("score", 8).alias("score"))
+    return algorithms.pagerank(*sells_with(spark, d), rounds=10, tolerance=0.0).select("node_id", F.round("score", 8).alias("score"))
+
+
+_OPS = f"l AS (SELECT DISTINCT l_orderkey + {ORDERS} AS o, l_partkey AS p, l_suppkey + {SUPPLIERS} AS s FROM lineitem)"
 
 
-@query(f"WITH e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ({_RING}) WHERE src <> dst), t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b), c AS (SELECT v, count(*) AS n FROM (SELECT unnest([p, q, r]) AS v FROM t) GROUP BY v) SELECT n_nationkey::BIGINT AS node_id, coalesce(n, 0) AS total FROM nation LEFT JOIN c ON v = n_nationkey")
+@query(f"WITH {_OPS}, t AS (SELECT x.o, x.p, y.s FROM (SELECT DISTINCT o, p FROM l) x JOIN (SELECT DISTINCT o, s FROM l) y USING (o) JOIN (SELECT DISTINCT p, s FROM l) z ON x.p = z.p AND y.s = z.s), c AS (SELECT o AS v, count(*) AS n FROM t GROUP BY 1 UNION ALL SELECT p, count(*) FROM t GROUP BY 1 UNION ALL SELECT s, count(*) FROM t GROUP BY 1) SELECT v AS node_id, n AS total FROM c")
 def triangle_count(spark, d):
-    nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-    return algorithms.triangles(nodes, _ring(spark, d))
+    edges = deliveries(spark, d)
+    return algorithms.triangles(ends(edges), edges)
 
 
-@query(f"WITH RECURSIVE e AS (SELECT src, dst, 1 + (src + dst) % 4 AS w FROM ({_RING})), p AS (SELECT 0::BIGINT AS node, 0 AS dist, 0 AS hop UNION SELECT dst, dist + w, hop + 1 FROM p JOIN e ON node = src WHERE hop < 12 AND dist < 40) SELECT 0::BIGINT AS source, node AS node_id, min(dist)::DOUBLE AS distance FROM p GROUP BY node")
+@query(f"WITH {_REACH} SELECT start AS source, node AS node_id, w AS distance FROM a")
 def sssp(spark, d):
-    edges = _ring(spark, d).withColumn("weight", 1 + (F.col("src") + F.col("dst")) % 4)
-    return algorithms.sssp(spark.createDataFrame([(0,)], "source long"), edges)
+    return algorithms.sssp(_regions(spark, d).withColumnRenamed("start", "source"), reach(spark, d))
+
+
+@query("SELECT unnest([0, n_regionkey::BIGINT + 1000, n_nationkey::BIGINT + 2000, s_suppkey + 10000]) AS node_id, 3.0::DOUBLE AS cost, unnest([0, 1, 2, 3]) AS index FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1")
+def shortest_path(spark, d):
+    top = table(spark, d, "region").select(F.lit(0).cast("long").alias("src"), (F.col("r_regionkey") + 1000).cast("long").alias("dst"))
+    edges = top.unionAll(_contains(spark, d).select("src", "dst")).withColumn("weight", F.lit(1.0))
+    return algorithms.shortest_path(edges, 0, 10001)
+
+
+@query(f"SELECT least(src, dst) AS source_id, greatest(src, dst) AS target_id FROM ({_TREE})")
+def bridges(spark, d):
+    edges = _contains(spark, d)
+    return algorithms.bridges(ends(edges), edges)
+
+
+@query(f"SELECT v AS node_id FROM (SELECT src AS v FROM ({_TREE}) UNION ALL SELECT dst FROM ({_TREE})) GROUP BY v HAVING count(*) > 1")
+def articulation_points(spark, d):
+    edges = _contains(spark, d)
+    return algorithms.articulation_points(ends(edges), edges)
+
+
+@query()
+def louvain(spark, d):
+    return algorithms.louvain(*sells_with(spark, d), rounds=4)
 
 
 @query(f"WITH RECURSIVE e AS ({_TREE}), p AS (SELECT DISTINCT src AS node, 0 AS level FROM e WHERE src NOT IN (SELECT dst FROM e) UNION ALL SELECT dst, level + 1 FROM p JOIN e ON node = src) SELECT node AS node_id, max(level) AS level FROM p GROUP BY node")
@@ -411,10 +571,12 @@ def topo_levels(spark, d):
     return algorithms.topo_levels(nodes, edges)
 
 
-@query(f"WITH RECURSIVE e AS ({_RING}), f AS (SELECT * FROM e WHERE dst > src OR src % 5 = 0), r AS (SELECT n_nationkey::BIGINT AS a, n_nationkey::BIGINT AS b FROM nation UNION SELECT a, dst FROM r JOIN f ON b = src) SELECT x.a AS node_id, min(x.b) AS component_id FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+@query(f"SELECT c_custkey AS node_id, c_custkey AS component_id FROM customer UNION ALL SELECT o_orderkey + {ORDERS}, CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE o_orderkey + {ORDERS} END FROM orders")
 def scc(spark, d):
-    nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-    return algorithms.scc(nodes, _ring(spark, d).where("dst > src OR src % 5 = 0"))
+    """Finished orders point back at their customer, so each customer and these are one component."""
+    nodes, edges = ordered(spark, d)
+    back = edges.where("o_orderstatus = 'F'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return algorithms.scc(nodes, edges.select("src", "dst").unionAll(back))
 
 
 @query()
@@ -480,16 +642,16 @@ def ts_anomalies(spark, d):
     return ts.anomalies(samples(spark, d), 2.0).select("entity_id", "property", "timestamp", "value", F.round("z_score", 6).alias("z_score"))
 
 
-@query(f"WITH l AS (SELECT entity_id, arg_max(value, timestamp) AS value FROM {_S} WHERE property = 'click' AND entity_id <= 100 GROUP BY 1), z AS (SELECT *, avg(value) OVER () AS m, stddev_pop(value) OVER () AS sd FROM l) SELECT entity_id, value, round((value - m) / sd, 6) AS z_score FROM z WHERE abs((value - m) / sd) > 1.5")
+@query(f"WITH l AS (SELECT entity_id, arg_max(value, timestamp) AS value FROM {_S} WHERE property = 'click' GROUP BY 1), z AS (SELECT *, avg(value) OVER () AS m, stddev_pop(value) OVER () AS sd FROM l) SELECT entity_id, value, round((value - m) / sd, 6) AS z_score FROM z WHERE abs((value - m) / sd) > 1.5")
 def ts_peer_anomalies(spark, d):
     s = samples(spark, d).where("property = 'click'")
-    return ts.peer_anomalies(s, s.where("entity_id <= 100").select("entity_id"), 1.5).select("entity_id", "value", F.round("z_score", 6).alias("z_score"))
+    return ts.peer_anomalies(s, s.select("entity_id"), 1.5).select("entity_id", "value", F.round("z_score", 6).alias("z_score"))
 
 
-@query(f"SELECT property, round(sum(value), 4) AS value, count(DISTINCT entity_id) AS node_count, count(*) AS sample_count FROM {_S} WHERE entity_id % 3 = 0 GROUP BY 1")
+@query(f"SELECT property, round(sum(value), 4) AS value, count(DISTINCT entity_id) AS node_count, count(*) AS sample_count FROM {_S} WHERE entity_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY 1")
 def ts_scoped_aggregate(spark, d):
     s = samples(spark, d)
-    return ts.scoped_aggregate(s, s.where("entity_id % 3 = 0").select("entity_id"), "sum").withColumn("value", F.round("value", 4))
+    return ts.scoped_aggregate(s, s.where("property = 'purchase'").select("entity_id"), "sum").withColumn("value", F.round("value", 4))
 
 
 @query(f"SELECT entity_id, property, timestamp // {DAY} * {DAY} AS window_start, min(value) AS min, max(value) AS max, round(avg(value), 8) AS mean, count(*) AS total FROM {_S} GROUP BY ALL")
@@ -498,10 +660,32 @@ def ts_downsample(spark, d):
     return out.withColumn("mean", F.round("mean", 8))
 
 
-@query(f"WITH s AS (SELECT *, lag(value) OVER (PARTITION BY entity_id, property ORDER BY timestamp) AS b FROM (SELECT entity_id, property, timestamp, floor(value / 50) AS value FROM {_S})) SELECT entity_id, property, timestamp, value FROM s WHERE b IS NULL OR b <> value")
+_LATE = f"(SELECT entity_id, property, timestamp, floor(value / 50) AS value, timestamp + floor(value)::BIGINT % 4 * {DAY} AS arrival FROM {_S})"
+
+
+@query(f"WITH a AS (SELECT *, max(timestamp) OVER (PARTITION BY entity_id, property ORDER BY arrival, timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM {_LATE}), s AS (SELECT *, lag(value) OVER (PARTITION BY entity_id, property ORDER BY timestamp) AS b FROM a WHERE seen IS NULL OR timestamp >= seen - {DAY // 2}) SELECT entity_id, property, timestamp, value FROM s WHERE b IS NULL OR b <> value")
 def ts_ingest(spark, d):
-    s = samples(spark, d).withColumn("value", F.floor(F.col("value") / 50).cast("double")).withColumn("arrival", F.col("timestamp"))
-    return ts.ingest(s).drop("arrival")
+    """Samples arrive up to three days after their time; half a day is tolerated."""
+    late = F.floor("value").cast("long") % 4 * DAY
+    s = samples(spark, d).withColumn("arrival", F.struct((F.col("timestamp") + late).alias("at"), "timestamp")).withColumn("value", F.floor(F.col("value") / 50).cast("double"))
+    return ts.ingest(s, DAY // 2).drop("arrival")
+
+
+@query(f"WITH s AS (SELECT entity_id, property, timestamp // 60000000000 * 60000000000 - 1 AS timestamp, value FROM {_S}) SELECT entity_id, property, timestamp // 60000000000 * 60000000000 AS window_start, min(value) AS min, max(value) AS max, count(*) AS count, round(CASE WHEN count(*) > 1 THEN stddev_pop(value) END, 6) AS stddev, CASE WHEN count(*) > 1 THEN quantile_disc(value, 0.5) END AS p50 FROM s GROUP BY ALL")
+def ts_warm_boundary(spark, d):
+    """Every sample one nanosecond before a full minute."""
+    s = samples(spark, d).withColumn("timestamp", scalar.floor_to(F.col("timestamp"), 60 * ts.SECOND) - 1)
+    return ts.warm(s).select("entity_id", "property", "window_start", "min", "max", "count", F.round("stddev", 6).alias("stddev"), "p50")
+
+
+@query(f"WITH s AS (SELECT entity_id, property, timestamp // {7 * DAY} AS w, quantile_disc(value, 0.9) AS q, count(*) AS c FROM {_S} GROUP BY ALL HAVING count(*) > 1) SELECT a.entity_id, a.property, round(v, 6) AS value FROM (SELECT DISTINCT entity_id, property FROM {_S}) a LEFT JOIN (SELECT entity_id, property, sum(q * c) / sum(c) AS v FROM s GROUP BY ALL) b ON a.entity_id = b.entity_id AND a.property = b.property")
+def ts_percentile(spark, d):
+    return ts.percentile(samples(spark, d), 0.9, 7 * DAY).select("entity_id", "property", F.round("value", 6).alias("value"))
+
+
+@query(f"SELECT entity_id, property, timestamp // {3600 * ts.SECOND} * {3600 * ts.SECOND} AS window_start, min(value) AS min, max(value) AS max, round(avg(value), 8) AS mean, count(*) AS total FROM {_S} GROUP BY ALL")
+def ts_trends(spark, d):
+    return ts.hourly(ts.warm(samples(spark, d))).withColumn("mean", F.round("mean", 8))
 
 
 @query(f"SELECT entity_id, property, timestamp, CASE WHEN entity_id % 2 = 0 THEN value + 1 ELSE value END AS value FROM {_S} WHERE timestamp BETWEEN {NOW - DAY} AND {NOW}")
@@ -540,24 +724,201 @@ def text_search(spark, d):
     return search.text_search(table(spark, d, "documents"), "doc_id", "text", "with that", 20).select("node_id", F.round("score", 6).alias("score"))
 
 
-@query()
+_SCORED = f"(SELECT a.vec_id AS node_id, {_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 7) b)"
+_TEXTS = _BM[: _BM.index("SELECT id AS node_id")]
+_TEXT_SCORE = _BM[_BM.index("FROM (SELECT id, ln") : _BM.index(" ORDER BY score")]
+
+
+@query(f"{_TEXTS.rstrip()}, t AS (SELECT id AS node_id, row_number() OVER (ORDER BY score DESC, id) AS r {_TEXT_SCORE}), v AS (SELECT node_id, row_number() OVER (ORDER BY score DESC, node_id) AS r FROM {_SCORED} WHERE node_id <> 7) SELECT node_id, round(sum(1.0 / (60 + r)), 8) AS score FROM (SELECT * FROM t WHERE r <= 20 UNION ALL SELECT * FROM v WHERE r <= 20) GROUP BY 1 ORDER BY sum(1.0 / (60 + r)) DESC, node_id LIMIT 10")
 def hybrid_search(spark, d):
     text = search.text_search(table(spark, d, "documents"), "doc_id", "text", "with that", 20)
     near = search.similar(table(spark, d, "embeddings"), "vec_id", "embedding", 7, 20)
     return search.fuse(text, near, k=10).select("node_id", F.round("score", 8).alias("score"))
 
 
+def _query_vector(spark, d):
+    """A fixed vector of the table's dimension."""
+    width = len(table(spark, d, "embeddings").first()["embedding"])
+    return [((i * 7) % 11 - 5) / 5 for i in range(width)]
+
+
+_Q = "(SELECT list_transform(range(len(embedding)), lambda i: ((i * 7) % 11 - 5) / 5) AS embedding FROM embeddings LIMIT 1)"
+_ASKED = f"(SELECT a.vec_id AS node_id, a.label, {_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}) AS score FROM embeddings a, {_Q} b)"
+
+
+def _top(spark, d, k=10):
+    return search.vector_search(table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d), k)
+
+
+def _next_vector(spark, d):
+    """Edges from every vector to the next."""
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("src"), (F.col("vec_id") + 1).alias("dst"), F.col("vec_id").alias("eid")).join(e.select(F.col("vec_id").alias("dst")), "dst", "left_semi").select("src", "dst", "eid")
+
+
+@query(f"SELECT node_id, round(score, 6) AS score FROM (SELECT * FROM {_ASKED} ORDER BY score DESC, node_id LIMIT 10)")
+def vector_search(spark, d):
+    return _top(spark, d).select("node_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT node_id, round(score, 6) AS score FROM (SELECT * FROM {_ASKED} WHERE node_id BETWEEN 10 AND 16 ORDER BY score DESC, node_id LIMIT 4)")
+def scoped_vector_search(spark, d):
+    found = search.scoped_vector_search(table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d), 4, spark.createDataFrame([(10,)], "start long"), _next_vector(spark, d), 6)
+    return found.select("node_id", F.round("score", 6).alias("score"))
+
+
+_RETRIEVED = f"h AS (SELECT node_id, score FROM {_ASKED} ORDER BY score DESC, node_id LIMIT 10), s AS (SELECT node_id + k AS node_id, score / (k + 1) AS score, CASE WHEN k = 0 THEN 'vector' ELSE 'graph' END AS source, k AS depth FROM h, range(0, 3) r(k) WHERE node_id + k IN (SELECT vec_id FROM embeddings)), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, depth, source DESC) AS r FROM s) WHERE r = 1)"
+
+
+@query(f"WITH {_RETRIEVED} SELECT node_id, round(score, 6) AS score, source, depth::INTEGER AS depth FROM b")
+def graph_retrieval(spark, d):
+    return search.graph_retrieval(_top(spark, d), _next_vector(spark, d), 2).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_RETRIEVED}, t AS (SELECT b.*, '[' || source || ' ' || depth || '] ' || label AS line FROM b JOIN embeddings ON node_id = vec_id ORDER BY score DESC, node_id LIMIT 5) SELECT count(*) AS nodes, string_agg(line, chr(10) ORDER BY score DESC, node_id) AS context FROM t")
+def graph_context(spark, d):
+    found = search.graph_retrieval(_top(spark, d), _next_vector(spark, d), 2)
+    return search.context(found, table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("label").cast("string").alias("text")), 5)
+
+
+def _communities(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("label").alias("community_id"))
+
+
+@query(f"SELECT node_id, round(score, 6) AS score, label AS community_id, size FROM (SELECT * FROM {_ASKED} ORDER BY score DESC, node_id LIMIT 10) JOIN (SELECT label, count(*) AS size FROM embeddings GROUP BY 1) USING (label)")
+def community_search(spark, d):
+    return search.community_search(_top(spark, d), _communities(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT e.label AS community_id, round(m, 6) AS score, vec_id AS node_id, 'v' || vec_id AS label FROM embeddings e JOIN (SELECT label, max(score) AS m FROM (SELECT * FROM {_ASKED} ORDER BY score DESC, node_id LIMIT 3) GROUP BY 1) USING (label)")
+def community_members(spark, d):
+    names = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("label"))
+    return search.community_members(_top(spark, d, 3), _communities(spark, d), names).withColumn("score", F.round("score", 6))
+
+
 # -- catalog and changes -----------------------------------------------------------
 
 
-@query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'place', 'party']) AS label")
+_NODES = {"region": ("r_regionkey", {"r_name": "string"}), "nation": ("n_nationkey", {"n_name": "string", "n_regionkey": "int"}), "customer": ("c_custkey", {"c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}), "supplier": ("s_suppkey", {"s_name": "string", "s_nationkey": "int", "s_acctbal": "double"}), "part": ("p_partkey", {"p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"}), "orders": ("o_orderkey", {"o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"})}
+_EDGES = {"in_region": "nation", "customer_in": "customer", "supplier_in": "supplier", "placed": "orders", "contains": "lineitem", "supplied_by": "lineitem"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS label FROM {x} GROUP BY 1" for x in _NODES) + " UNION ALL SELECT 'place' FROM nation GROUP BY 1 UNION ALL SELECT 'party' FROM customer GROUP BY 1")
 def catalog_labels(spark, d):
     return catalog.labels(graph(spark, d))
 
 
-@query("SELECT 'supplier' AS label, 's_name' AS property, 'string' AS inferred_type, 0.0::DOUBLE AS null_rate, count(DISTINCT s_name) / count(s_name) AS unique_rate, count(*) AS sample_size FROM supplier UNION ALL SELECT 'supplier', 's_nationkey', 'int', 0.0, count(DISTINCT s_nationkey) / count(*), count(*) FROM supplier UNION ALL SELECT 'supplier', 's_acctbal', 'double', 0.0, count(DISTINCT s_acctbal) / count(*), count(*) FROM supplier")
+@query(" UNION ALL ".join(f"SELECT '{label}' AS type FROM {t} GROUP BY 1" for label, t in _EDGES.items()))
+def edge_types(spark, d):
+    return catalog.edge_types(graph(spark, d))
+
+
+@query("SELECT " + " + ".join(f"(SELECT count(*) FROM {x})" for x in _NODES) + " AS nodes, " + " + ".join(f"(SELECT count(*) FROM {x})" for x in _EDGES.values()) + " AS edges")
+def graph_size(spark, d):
+    g = graph(spark, d)
+    return catalog.node_count(g).withColumnRenamed("total", "nodes").crossJoin(catalog.edge_count(g).withColumnRenamed("total", "edges"))  # one row each
+
+
+@query(" UNION ALL ".join(f"SELECT '{label}' AS label, '{c}' AS property, '{kind}' AS inferred_type, round(1 - count({c}) / count(*), 8) AS null_rate, round(count(DISTINCT {c}) / count({c}), 8) AS unique_rate, count(*) AS sample_size FROM {label}" for label, (_, columns) in _NODES.items() for c, kind in columns.items()))
 def discover_schema(spark, d):
-    return catalog.discover_schema(graph(spark, d)).where("label = 'supplier'")
+    return catalog.discover_schema(graph(spark, d)).withColumn("null_rate", F.round("null_rate", 8)).withColumn("unique_rate", F.round("unique_rate", 8))
+
+
+_TYPES = {"customer": (catalog.Property("c_custkey", "INT", required=True, unique=True), catalog.Property("c_acctbal", "FLOAT", low=0), catalog.Property("c_mktsegment", "STRING", allowed=("BUILDING", "MACHINERY"))), "region": (catalog.Property("r_name", "STRING", required=True, immutable=True),)}
+
+
+@query("SELECT * FROM (VALUES ('customer', 'unique', 'c_custkey', 'Property ''c_custkey'' must be unique'), ('customer', 'range', 'c_acctbal', 'Property ''c_acctbal'' must be >= 0'), ('customer', 'enum', 'c_mktsegment', 'Property ''c_mktsegment'' must be one of 2 allowed values'), ('region', 'immutable', 'r_name', 'Property ''r_name'' cannot be changed after creation')) t(label, constraint_type, properties, description)")
+def graph_constraints(spark, d):
+    return catalog.constraints(spark, _TYPES)
+
+
+@query("SELECT * FROM (VALUES ('c_custkey', 'INT', true, NULL::VARCHAR), ('c_acctbal', 'FLOAT', false, NULL), ('c_mktsegment', 'STRING', false, NULL)) t(property, value_type, required, \"default\")")
+def graph_schema(spark, d):
+    return catalog.schema(spark, _TYPES, "customer")
+
+
+@query("SELECT '(:customer {c_custkey: INT required unique, c_acctbal: FLOAT, c_mktsegment: STRING})' || chr(10) || '(:region {r_name: STRING required})' || chr(10) || '(:orders)-[:contains]->(:part)' || chr(10) || '(:customer)-[:customer_in]->(:nation)' || chr(10) || '(:nation)-[:in_region]->(:region)' || chr(10) || '(:customer)-[:placed]->(:orders)' || chr(10) || '(:orders)-[:supplied_by]->(:supplier)' || chr(10) || '(:supplier)-[:supplier_in]->(:nation)' AS schema")
+def schema_dump(spark, d):
+    return catalog.schema_dump(spark, _TYPES, graph(spark, d))
+
+
+@query("SELECT 'delete_duplicate_edges' AS action, '(orders:' || l_orderkey || ')-[:contains]->(part:' || l_partkey || '): keep 1, remove ' || (count(*) - 1) AS detail FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1 UNION ALL SELECT 'delete_duplicate_edges', '(orders:' || l_orderkey || ')-[:supplied_by]->(supplier:' || l_suppkey || '): keep 1, remove ' || (count(*) - 1) FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1")
+def graph_repair(spark, d):
+    return catalog.repair(graph(spark, d))
+
+
+@query("WITH n AS (SELECT ['orders', 'x'] AS labels, epoch(o_orderdate)::BIGINT AS c, epoch(o_orderdate)::BIGINT + o_orderkey % 1000 * 86400 AS u FROM orders), e AS (SELECT epoch(l_shipdate)::BIGINT AS c FROM lineitem) SELECT 'node' AS entity_type, CASE WHEN c >= 820454400 THEN 'created' ELSE 'updated' END AS change_type, 'orders' AS label, count(*) AS total FROM n WHERE c >= 820454400 OR u >= 820454400 GROUP BY 2 UNION ALL SELECT 'edge', 'created', 'contains', count(*) FROM e WHERE c >= 820454400 HAVING count(*) > 0")
+def graph_diff(spark, d):
+    o = table(spark, d, "orders")
+    made = scalar.extract("EPOCH", F.col("o_orderdate"))
+    nodes = o.select(F.array(F.lit("orders"), F.lit("x")).alias("labels"), made.alias("created_at"), (made + F.col("o_orderkey") % 1000 * 86400).alias("updated_at"))
+    edges = table(spark, d, "lineitem").select(F.lit("contains").alias("label"), scalar.extract("EPOCH", F.col("l_shipdate")).alias("created_at"))
+    return catalog.diff(nodes, edges, 820454400)
+
+
+_VERSIONS = f"v AS (SELECT entity_id AS node_id, property AS key, value, timestamp, lead(timestamp) OVER (PARTITION BY entity_id, property ORDER BY timestamp, value) AS superseded_at FROM {_S})"
+
+
+def _versions(spark, d):
+    """(current properties, superseded values) of the events."""
+    s = samples(spark, d).select(F.col("entity_id").alias("node_id"), F.col("property").alias("key"), "value", "timestamp")
+    v = s.withColumn("superseded_at", F.lead("timestamp").over(Window.partitionBy("node_id", "key").orderBy("timestamp", "value")))
+    return v.where("superseded_at IS NULL").select("node_id", "key", "value", F.col("timestamp").alias("updated_at")), v.where("superseded_at IS NOT NULL").drop("timestamp")
+
+
+@query(f"WITH {_VERSIONS}, o AS (SELECT node_id, key, arg_min(value, superseded_at) AS old FROM v WHERE superseded_at > {NOW} GROUP BY ALL) SELECT c.node_id, c.key, CASE WHEN c.timestamp <= {NOW} THEN c.value ELSE old END AS value FROM (SELECT * FROM v WHERE superseded_at IS NULL) c LEFT JOIN o ON o.node_id = c.node_id AND o.key = c.key WHERE c.timestamp <= {NOW} OR old IS NOT NULL")
+def property_at(spark, d):
+    return catalog.property_at(*_versions(spark, d), NOW)
+
+
+@query(f"WITH {_VERSIONS} SELECT node_id, key, value, superseded_at FROM v WHERE superseded_at BETWEEN {NOW - DAY} AND {NOW}")
+def property_history(spark, d):
+    return catalog.property_history(_versions(spark, d)[1], NOW - DAY, NOW)
+
+
+@query("SELECT s_suppkey AS node_id, 'balance' AS key, CASE WHEN s_suppkey % 3 >= s_suppkey % 2 THEN s_acctbal ELSE -1.0 END AS value FROM supplier")
+def merge_last_write(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.lit("balance").alias("key"), F.col("s_acctbal").alias("value"))
+    return catalog.merge_last_write(s.withColumn("clock", F.col("node_id") % 3), s.withColumn("value", F.lit(-1.0)).withColumn("clock", F.col("node_id") % 2))
+
+
+@query("SELECT s_suppkey AS k, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal END AS balance FROM supplier")
+def remove_properties(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("balance"))
+    return mutations.remove_properties(s, F.col("balance") < 0, "balance")
+
+
+@query("SELECT s_suppkey::VARCHAR AS id, 'supplier' AS label, s_name AS name, s_nationkey::VARCHAR AS nation FROM supplier")
+def json_graph(spark, d):
+    """Nodes and edges as JSON objects and back."""
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("label"), "s_name")
+    edges = table(spark, d, "supplier").select(F.col("s_suppkey").alias("src"), F.lit("supplier_in").alias("label"), F.col("s_nationkey").alias("dst"))
+    n, e = files.from_json_graph(files.to_json_graph(nodes, edges))
+    return n.join(e.select(F.col("src").alias("id"), "dst"), "id").select("id", "label", F.try_element_at("props", F.lit("s_name")).alias("name"), F.col("dst").alias("nation"))
+
+
+@query("SELECT 'customer' AS kind, count(*) AS total FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'customer_in', count(*) FROM customer")
+def slice_by_labels(spark, d):
+    g = files.slice_by_labels(graph(spark, d), ["customer", "nation"])
+    counts = g.all_nodes().select(F.col("label").alias("kind")).unionAll(g.all_edges().select("label"))
+    return counts.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
+
+
+@query(f"SELECT n_nationkey::BIGINT + 2000 AS src, s_suppkey + 10000 AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 1001, n_nationkey + 2000 FROM nation WHERE n_regionkey = 1")
+def slice_by_containment(spark, d):
+    tree = _contains(spark, d)
+    return files.slice_by_containment(spark.createDataFrame([(1001,)], "start long"), tree, tree)[1].select("src", "dst")
+
+
+@query("SELECT s_suppkey AS s, 'urn:graph:node/' || s_nationkey AS nation, CASE WHEN s_acctbal > 5000 THEN s_name END AS rich FROM supplier")
+def rdf_patterns(spark, d):
+    """Triples of the suppliers, a basic pattern and an optional one."""
+    s = table(spark, d, "supplier")
+    nodes = s.select((F.col("s_suppkey") + 1000).alias("id"), F.array(F.lit("supplier")).alias("labels"), F.create_map(F.lit("key"), F.col("s_suppkey").cast("string"), F.lit("rich"), F.when(F.col("s_acctbal") > 5000, F.col("s_name"))).alias("props"))
+    triples = files.to_triples(nodes, s.select((F.col("s_suppkey") + 1000).alias("src"), F.lit("in").alias("label"), F.col("s_nationkey").alias("dst")))
+    found = files.basic_pattern(triples, ("?x", files.RDF_TYPE, "urn:graph:type/supplier"), ("?x", "urn:graph:prop/key", "?k"), ("?x", "urn:graph:rel/in", "?n"))
+    both = files.optional_pattern(found, files.basic_pattern(triples, ("?x", "urn:graph:prop/rich", "?r")))
+    return both.select(F.col("k").cast("long").alias("s"), F.col("n").alias("nation"), F.col("r").alias("rich"))
 
 
 @query("SELECT 'dangling_edges' AS \"check\", 'ok' AS status, 0::BIGINT AS total UNION ALL SELECT 'duplicate_edges', CASE WHEN n > 0 THEN 'warning' ELSE 'ok' END, n FROM (SELECT (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1)) AS n) UNION ALL SELECT 'orphaned_nodes', CASE WHEN n > 0 THEN 'warning' ELSE 'ok' END, n FROM (SELECT (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)) AS n)")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pgspark.functions.scalar import floor_to, int_divide
+from pgspark.graph import Graph
 from pgspark.operators.paths import bfs
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -78,8 +83,59 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         o = F.replace(o, F.lit(a), F.lit(b))
     end = F.when(F.col("literal"), F.concat(F.lit('"'), o, F.lit('"'))).otherwise(F.concat(F.lit("<"), F.col("o"), F.lit(">")))
-    triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), end, F.lit(" ."))).write.text(path)
+    graph = F.when(F.col("graph").isNotNull(), F.concat(F.lit(" <"), "graph", F.lit(">"))).otherwise("") if "graph" in triples.columns else F.lit("")
+    triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), end, graph, F.lit(" ."))).write.text(path)
+
+
+#: Terms of Turtle: directives, IRIs, names with a prefix, blank nodes, texts, numbers, truth values and marks.
+_TURTLE = r"""(?x) \s+ | \#[^\n]* | (?P<prefix>@?[Pp][Rr][Ee][Ff][Ii][Xx]\s+(?P<name>[\w.-]*):\s*<(?P<base>[^>]*)>\s*\.?)
+ | <(?P<iri>[^>]*)> | (?P<blank>_:[\w.-]*\w) | (?:\"{3}(?P<long>.*?)\"{3} | \"(?P<text>(?:[^"\\]|\\.)*)\")(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w.-]*:[\w.-]*))?
+ | (?P<number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true\b|false\b) | (?P<short>[\w.-]*:[\w.-]*[\w-]|[\w.-]+:) | (?P<a>a)(?=\s) | (?P<mark>[.;,])"""
+_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", '"': '"', "\\": "\\"}
+
+
+def turtle_triples(text: str) -> list[tuple[str, str, str, bool]]:
+    """(s, p, o, literal) of a Turtle text without collections and anonymous nodes."""
+    prefixes, held, out, at = {}, [], [], 0
+    pattern = re.compile(_TURTLE, re.S)
+    while at < len(text):
+        m = pattern.match(text, at)
+        if m is None:
+            raise ValueError(f"not Turtle: {text[at : at + 40]!r}")
+        at = m.end()
+        if m["prefix"]:
+            prefixes[m["name"]] = m["base"]
+        elif m["mark"]:
+            out.append((held[0][0], held[1][0], *held[2]))
+            held = {".": [], ";": held[:1], ",": held[:2]}[m["mark"]]
+        elif m["short"]:
+            name, _, rest = m["short"].partition(":")
+            held.append((prefixes[name] + rest, False))
+        elif m["a"]:
+            held.append((RDF_TYPE, False))
+        elif (value := m["long"] if m["long"] is not None else m["text"]) is not None:
+            held.append((re.sub(r"\\(.)", lambda e: _ESCAPES.get(e[1], e[0]), value), True))
+        elif m["number"]:
+            held.append((m["number"], True))
+        elif m["iri"] is not None or m["blank"]:
+            held.append((m["blank"] or m["iri"], False))
+    return out
+
+
+def read_turtle(spark: SparkSession, path: str) -> DataFrame:
+    """(s, p, o, literal) of Turtle files; each file is read whole, as its prefixes hold to its end."""
+
+    def run(batches):
+        for b in batches:
+            rows = [t for text in b["value"] for t in turtle_triples(text)]
+            yield pd.DataFrame(rows, columns=["s", "p", "o", "literal"])
 
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "s string, p string, o string, literal boolean")
+
+
+def write_turtle(triples: DataFrame, path: str) -> None:
+    """Turtle, one statement a line: files can then be written in parallel and need no header."""
+    write_ntriples(triples.select("s", "p", "o", "literal"), path)
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """(s, p, o, literal, graph) of N-Triples or N-Quads lines; comments and other lines are passed over."""
@@ -111,7 +167,22 @@ def basic_pattern(triples: DataFrame, *patterns: tuple[str, str, str]) -> DataFr
             out = df
         else:
             shared = [c for c in out.columns if c in df.columns]
-            out = out.join(df, shared) if shared else out.crossJoin(df)
+            if not shared:
+                raise ValueError(f"{pattern} shares no variable with the patterns before it")
+            out = out.join(df, shared)
+    return out
+
+
+def optional_pattern(bindings: DataFrame, found: DataFrame) -> DataFrame:
+    """OPTIONAL: all bindings, with what ``found`` adds to them over the shared variables."""
+    return bindings.join(found, [c for c in bindings.columns if c in found.columns], "left")
+
+
+def union_patterns(*found: DataFrame) -> DataFrame:
+    """UNION: the bindings of all patterns; variables that a pattern lacks are null."""
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
     return out
 
 
@@ -120,7 +191,7 @@ def basic_pattern(triples: DataFrame, *patterns: tuple[str, str, str]) -> DataFr
 
 def write_samples(samples: DataFrame, path: str) -> None:
     """By UTC day, sorted by series and time within files, so that row groups prune; zstd."""
-    day = F.to_date(F.timestamp_seconds(F.floor(F.col("timestamp") / F.lit(1_000_000_000)).cast("long")))
+    day = F.to_date(F.timestamp_seconds(int_divide(floor_to(F.col("timestamp"), 1_000_000_000), F.lit(1_000_000_000))))
     placed = samples.withColumn("day", day).repartition("day", F.pmod(F.xxhash64("entity_id", "property"), F.lit(16)))
     placed.sortWithinPartitions("day", "entity_id", "property", "timestamp").write.mode("append").partitionBy("day").option("compression", "zstd").parquet(path)
 
@@ -143,9 +214,24 @@ def compact_samples(spark: SparkSession, path: str, out: str, keep_from: int | N
 # -- slices ---------------------------------------------------------------------------------
 
 
+def slice_by_labels(graph: Graph, labels: list[str]) -> Graph:
+    """The nodes of some labels and the edge tables between them."""
+    return Graph({k: t for k, t in graph.nodes.items() if k in labels}, {k: t for k, t in graph.edges.items() if t.src_label in labels and t.dst_label in labels})
+
+
+def slice_by_containment(root: DataFrame, contains: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with their depth, edges between them) of all that ``root(start)`` contains, itself included."""
+    inside = bfs(root, contains).groupBy("node").agg(F.min("depth").alias("_depth"))
+    return inside, _between(edges, inside)
+
+
+def _between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    ids = nodes.select(F.col("node").alias("_id"))
+    kept = edges.join(ids, edges["src"] == ids["_id"], "left_semi")
+    return kept.join(ids, kept["dst"] == ids["_id"], "left_semi")
+
+
 def slice_by_traversal(root: DataFrame, edges: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
     """(nodes with their depth, edges between them) within ``hops`` of ``root(start)``."""
     near = bfs(root, edges, hops).groupBy("node").agg(F.min("depth").alias("_depth"))
-    ids = near.select(F.col("node").alias("_id"))
-    kept = edges.join(ids, edges["src"] == ids["_id"], "left_semi")
-    return near, kept.join(ids, kept["dst"] == ids["_id"], "left_semi")
+    return near, _between(edges, near)

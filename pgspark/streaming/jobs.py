@@ -28,16 +28,18 @@ def sessions(samples: DataFrame, gap: str, late: str = "5 seconds") -> DataFrame
     return grouped.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *KEYS, "count")
 
 
-def ingest(samples: DataFrame, tolerance_seconds: float = 5.0) -> DataFrame:
+def ingest(samples: DataFrame, tolerance_seconds: float = 5.0, arrival: str | None = None) -> DataFrame:
     """What each series keeps, by its own clock: too late samples go, then repeats of the value before.
 
-    The state of a series is its last time and value.
+    The state of a series is its last time and value. Samples of one batch count
+    as arriving in the order of the column ``arrival``; without one, in the order
+    of their times, so that only samples of earlier batches make them late.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last_ts, last_value = state.get if state.exists else (None, None)
         for rows in parts:
-            rows = rows.sort_values("ts", kind="stable")
+            rows = rows.sort_values(arrival or "ts", kind="stable")
             keep = []
             for ts, value in zip(rows["ts"], rows["value"]):
                 now = ts.value
@@ -46,7 +48,7 @@ def ingest(samples: DataFrame, tolerance_seconds: float = 5.0) -> DataFrame:
                 if not late:
                     last_value = value if last_ts is None or now >= last_ts else last_value
                     last_ts = now if last_ts is None else max(last_ts, now)
-            yield rows[keep]
+            yield rows.loc[keep, SAMPLE.names]
         state.update((last_ts, last_value))
 
     return samples.groupBy(*KEYS).applyInPandasWithState(run, SAMPLE, StructType([StructField("ts", LongType()), StructField("value", DoubleType())]), "append", GroupStateTimeout.NoTimeout)
@@ -65,8 +67,23 @@ def view(changes: DataFrame, value: str = "value") -> DataFrame:
     return sums.select("count", "sum", (F.col("sum") / F.nullif("count", F.lit(0))).alias("avg"))
 
 
+def value_counts(changes: DataFrame, before: DataFrame | None = None, value: str = "value") -> DataFrame:
+    """(value, n): how often each value is held after signed changes; with ``before``, after those and the earlier ones."""
+    rows = changes.select(F.col(value).alias("value"), F.col("sign").cast("long").alias("n"))
+    rows = rows if before is None else rows.unionByName(before)
+    return rows.groupBy("value").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def extremes(counts: DataFrame) -> DataFrame:
+    """(min, max, values): of a view's ``value_counts``; a removed extreme gives way to the next, ``values`` holds repeats."""
+    return counts.agg(F.min("value").alias("min"), F.max("value").alias("max"), F.array_sort(F.flatten(F.collect_list(F.expr("array_repeat(value, cast(n AS int))")))).alias("values"))
+
+
 def on_change(changes: DataFrame, action: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str, depth: int = 8):
-    """A trigger: each batch of changes runs ``action``; what that yields triggers again, at most ``depth`` times."""
+    """A trigger: each batch of changes runs ``action``; what that yields triggers again, at most ``depth`` times.
+
+    A cascade that has not ended by then is an error, which stops the stream.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         for _ in range(depth):
@@ -74,5 +91,7 @@ def on_change(changes: DataFrame, action: Callable[[DataFrame], DataFrame], sink
                 return
             df = action(df)
             sink(df)
+        if not df.isEmpty():
+            raise RuntimeError(f"changes still follow after {depth} rounds of the trigger")
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pgspark.graph import EdgeTable, Graph, NodeTable
 from pgspark.plans.timeseries import as_samples
 
+#: What is added to keys so that the nodes of one graph differ.
+NATIONS, CUSTOMERS, SUPPLIERS, ORDERS = 100, 1_000, 10_000_000_000, 1_000_000_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,11 +50,36 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sells_with(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): customers and the nations of their suppliers do not form cycles, so algorithms run on part -> supplier links of returned lines.
+    """(nodes, edges): part -> supplier links of all line items; suppliers' ids are moved past the parts' by an offset."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + SUPPLIERS).alias("dst")).distinct()
+    return ends(edges), edges
 
-    Ids of suppliers are moved past the parts' by an offset of 10 million.
-    """
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45")
-    edges = lines.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 10_000_000).alias("dst")).distinct()
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    return nodes, edges
+
+def ends(edges: DataFrame) -> DataFrame:
+    """(id): the nodes that edges touch."""
+    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): customer -> order links; orders' ids are moved past the customers'."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    nodes = c.select(F.col("c_custkey").alias("id")).unionAll(o.select(F.col("o_orderkey") + ORDERS))
+    return nodes, o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + ORDERS).alias("dst"), "o_orderstatus")
+
+
+def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted edges region -> nation -> customer -> order, each kind of node moved past the one before."""
+    t = lambda name: table(spark, sf_dir, name)
+    link = lambda df, src, dst, weight: df.select(src.cast("long").alias("src"), dst.cast("long").alias("dst"), weight.cast("double").alias("weight"))
+    c = F.col
+    nations = link(t("nation"), c("n_regionkey"), c("n_nationkey") + NATIONS, 1 + c("n_nationkey") % 4)
+    customers = link(t("customer"), c("c_nationkey") + NATIONS, c("c_custkey") + CUSTOMERS, 1 + c("c_custkey") % 5)
+    orders = link(t("orders"), c("o_custkey") + CUSTOMERS, c("o_orderkey") + ORDERS, 1 + c("o_orderkey") % 3)
+    return nations.unionAll(customers).unionAll(orders)
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges order - part, order - supplier and part - supplier of all line items."""
+    o, p, s = F.col("l_orderkey") + ORDERS, F.col("l_partkey"), F.col("l_suppkey") + SUPPLIERS
+    pair = lambda a, b: F.struct(a.alias("src"), b.alias("dst"))
+    return table(spark, sf_dir, "lineitem").select(F.explode(F.array(pair(o, p), pair(o, s), pair(p, s))).alias("e")).select("e.src", "e.dst").distinct()

@@ -8,52 +8,57 @@ from pyspark.sql import functions as F
 from pgspark.functions import scalar, spatial
 from pgspark.graph import EdgeTable, Graph, NodeTable, prop
 from pgspark.operators import mutations, paths, rows
-from pgspark.plans import algorithms, catalog, search
+from pgspark.plans import algorithms, catalog, search, timeseries
 from pgspark.sources import files
 
 
 @pytest.fixture(scope="module")
-def house(spark):
-    """HQ -> Floor-1 -> two sensors."""
-    building = spark.createDataFrame([(1, "HQ")], "id long, name string")
-    floor = spark.createDataFrame([(2, "Floor-1")], "id long, name string")
-    sensor = spark.createDataFrame([(3, "T1", 72.5), (4, "T2", 80.0)], "id long, name string, temp double")
-    has = EdgeTable(spark.createDataFrame([(10, 1, 2)], "eid long, src long, dst long"), "src", "dst", "building", "floor", "eid")
-    holds = EdgeTable(spark.createDataFrame([(11, 2, 3), (12, 2, 4)], "eid long, src long, dst long"), "src", "dst", "floor", "sensor", "eid")
-    return Graph({"building": NodeTable(building, "id"), "floor": NodeTable(floor, "id"), "sensor": NodeTable(sensor, "id")}, {"has": has, "holds": holds})
+def orchard(spark):
+    """A farm with one plot, which grows three trees."""
+    farm = spark.createDataFrame([(5, "Westside")], "id long, name string")
+    plot = spark.createDataFrame([(50, "slope")], "id long, name string")
+    tree = spark.createDataFrame([(501, "pear", 3.5), (502, "plum", 4.25), (503, "quince", 2.0)], "id long, name string, height double")
+    owns = EdgeTable(spark.createDataFrame([(1, 5, 50)], "eid long, src long, dst long"), "src", "dst", "farm", "plot", "eid")
+    grows = EdgeTable(spark.createDataFrame([(2, 50, 501), (3, 50, 502), (4, 50, 503)], "eid long, src long, dst long"), "src", "dst", "plot", "tree", "eid")
+    return Graph({"farm": NodeTable(farm, "id"), "plot": NodeTable(plot, "id"), "tree": NodeTable(tree, "id")}, {"owns": owns, "grows": grows})
 
 
-def test_two_hops(house):
-    b = house.match("b", "building").expand("b", "has", "f").expand("f", "holds", "s")
-    got = b.where(prop("s.temp") > 75).select(prop("b.name").alias("b"), prop("s.name").alias("s")).collect()
-    assert [tuple(r) for r in got] == [("HQ", "T2")]
+def test_two_hops(orchard):
+    b = orchard.match("f", "farm").expand("f", "owns", "p").expand("p", "grows", "t")
+    got = b.where(prop("t.height") > 3).select(prop("f.name").alias("f"), prop("t.name").alias("t")).collect()
+    assert sorted(tuple(r) for r in got) == [("Westside", "pear"), ("Westside", "plum")]
 
 
-def test_optional_keeps_rows_and_where_after_sees_nulls(house):
-    hot = house.match("f", "floor").expand("f", "holds", "s").where(prop("s.temp") > 100)
-    b = house.match("f", "floor").optional(hot)
-    assert [tuple(r) for r in b.select(prop("f").alias("f"), prop("s").alias("s")).collect()] == [(2, None)]
-    assert b.where(prop("s").isNotNull()).df.count() == 0
+def test_optional_keeps_rows_and_where_after_sees_nulls(orchard):
+    tall = orchard.match("p", "plot").expand("p", "grows", "t").where(prop("t.height") > 30)
+    b = orchard.match("p", "plot").optional(tall)
+    assert [tuple(r) for r in b.select(prop("p").alias("p"), prop("t").alias("t")).collect()] == [(50, None)]
+    assert b.where(prop("t").isNotNull()).df.count() == 0
 
 
-def test_parallel_edges_stay(spark, house):
-    twice = EdgeTable(spark.createDataFrame([(1, 2), (1, 2)], "src long, dst long"), "src", "dst", "building", "floor")
-    g = Graph(house.nodes, {"has": twice})
-    assert g.match("b", "building").expand("b", "has", "f").df.count() == 2
+def test_parallel_edges_stay(spark, orchard):
+    twice = EdgeTable(spark.createDataFrame([(5, 50), (5, 50)], "src long, dst long"), "src", "dst", "farm", "plot")
+    g = Graph(orchard.nodes, {"owns": twice})
+    assert g.match("f", "farm").expand("f", "owns", "p").df.count() == 2
 
 
-def test_undirected_pairs_between_equal_labels(spark, house):
-    near = EdgeTable(spark.createDataFrame([(3, 4), (4, 4)], "src long, dst long"), "src", "dst", "sensor", "sensor")
-    g = Graph(house.nodes, {"near": near})
-    one = g.match("a", "sensor").expand("a", "near", "b", "any").select(prop("a").alias("a"), prop("b").alias("b")).collect()
-    assert [tuple(r) for r in one] == [(3, 4)]
-    both = g.match("a", "sensor").expand("a", "near", "b", "any", ordered_pairs=True).select(prop("a").alias("a"), prop("b").alias("b")).collect()
-    assert sorted(tuple(r) for r in both) == [(3, 4), (4, 3), (4, 4)]
+def test_undirected_pairs_between_equal_labels(spark, orchard):
+    near = EdgeTable(spark.createDataFrame([(501, 503), (503, 503)], "src long, dst long"), "src", "dst", "tree", "tree")
+    g = Graph(orchard.nodes, {"near": near})
+    one = g.match("a", "tree").expand("a", "near", "b", "any").select(prop("a").alias("a"), prop("b").alias("b")).collect()
+    assert [tuple(r) for r in one] == [(501, 503)]
+    both = g.match("a", "tree").expand("a", "near", "b", "any", ordered_pairs=True).select(prop("a").alias("a"), prop("b").alias("b")).collect()
+    assert sorted(tuple(r) for r in both) == [(501, 503), (503, 501), (503, 503)]
 
 
-def test_cross_refuses_large(house):
+def test_value_of_several_matches_is_an_error(orchard):
+    with pytest.raises(Exception, match="more than one match"):
+        orchard.match("p", "plot").value_of(orchard.match("p", "plot").expand("p", "grows", "t"), prop("t.name"), "n").df.collect()
+
+
+def test_cross_refuses_large(orchard):
     with pytest.raises(ValueError):
-        house.match("a", "sensor").cross(house.match("b", "building"), most_rows=1)
+        orchard.match("a", "tree").cross(orchard.match("b", "farm"), most_rows=1)
 
 
 def test_null_order(spark):
@@ -246,16 +251,121 @@ def test_durations_and_paths(spark):
     assert tuple(got) == (2, False, True, True)
 
 
-def test_containment_paths_of_hits(spark, house):
-    up = spark.createDataFrame([(3, 2), (4, 2), (2, 1)], "child long, parent long")
-    names = spark.createDataFrame([(1, "HQ"), (2, "Floor-1"), (3, "T1")], "id long, name string")
-    hits = spark.createDataFrame([(3, 0.9), (1, 0.5)], "node_id long, score double")
-    assert sorted(tuple(r) for r in search.with_path(hits, up, names, 5).collect()) == [(1, 0.5, "HQ"), (3, 0.9, "HQ > Floor-1 > T1")]
+def test_containment_paths_of_hits(spark):
+    up = spark.createDataFrame([(501, 50), (502, 50), (50, 5)], "child long, parent long")
+    names = spark.createDataFrame([(5, "Westside"), (50, "slope"), (501, "pear")], "id long, name string")
+    hits = spark.createDataFrame([(501, 0.75), (5, 0.25)], "node_id long, score double")
+    assert sorted(tuple(r) for r in search.with_path(hits, up, names, 5).collect()) == [(5, 0.25, "Westside"), (501, 0.75, "Westside > slope > pear")]
+
+
+def test_properties_of_a_variable(orchard):
+    b = orchard.match("t", "tree")
+    r = b.where(prop("t") == 502).df.select(b.properties("t").alias("p"), b.property_names("t").alias("k")).first()
+    assert r.p.asDict() == {"name": "plum", "height": 4.25} and r.k == ["name", "height"]
+
+
+def articulation_of(nodes, edges):
+    """Nodes whose removal leaves more components than there were, not counting the node's own."""
+    def parts(left):
+        return components_without(left, [e for e in edges if e[0] in left and e[1] in left], None)
+
+    return {n for n in nodes if parts([m for m in nodes if m != n]) > parts(nodes) - (not any(n in e and e[0] != e[1] for e in edges))}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_articulation_points_against_removal(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    nodes = list(range(22))
+    edges = [(r.randrange(22), r.randrange(22)) for _ in range(12 + 7 * seed)] + [(0, 1), (1, 0), (3, 3)]
+    n, e = graph_of(spark, nodes, edges)
+    assert {x.node_id for x in algorithms.articulation_points(n, e).collect()} == articulation_of(nodes, edges)
+    assert algorithms.articulation_points(n, e.limit(0)).count() == 0
+
+
+def test_articulation_point_of_a_hub(spark):
+    n, e = graph_of(spark, range(40), [(0, k) for k in range(1, 40)] + [(1, 2), (3, 4)])
+    assert [x.node_id for x in algorithms.articulation_points(n, e).collect()] == [0]
+
+
+def test_longer_shortest_path(spark):
+    edges = spark.createDataFrame([(k, k + 1, 1.0) for k in range(20)] + [(0, 20, 50.0), (4, 9, 0.0), (9, 4, 0.0)], "src long, dst long, weight double")
+    got = [r["node_id"] for r in algorithms.shortest_path(edges, 0, 20).orderBy("index").collect()]
+    assert got == [0, 1, 2, 3, 4, *range(9, 21)]
+    assert [tuple(r) for r in algorithms.shortest_path(edges, 7, 7).collect()] == [(7, 0.0, 0)]
 
 
-def test_properties_of_a_variable(house):
-    r = house.match("s", "sensor").where(prop("s") == 3).df.select(house.match("s", "sensor").properties("s").alias("p"), house.match("s", "sensor").property_names("s").alias("k")).first()
-    assert r.p.asDict() == {"name": "T1", "temp": 72.5} and r.k == ["name", "temp"]
+def test_unbounded_paths_end(spark):
+    edges = spark.createDataFrame([(1, 2, 10), (2, 3, 11), (3, 1, 12)], "src long, dst long, eid long")
+    start = spark.createDataFrame([(1,)], "start long")
+    assert sorted(r.depth for r in paths.var_expand(start, edges, 0, None, "trail").collect()) == [0, 1, 2, 3]
+    assert paths.var_expand(start, edges, 1, None, "walk").count() == paths.UNBOUNDED
+
+
+def test_turtle(spark, tmp_path):
+    text = '@prefix ex: <http://ex.org/> .\nPREFIX b: <urn:b:>\nex:pear a ex:Tree ; ex:name "Pear \\"old\\""@en , "Birne" ; # note\n  ex:height 3.5 ; ex:near _:x .\nb:x ex:tall true .\n<urn:y> <urn:p> """two\nlines"""^^ex:t .\n'
+    (tmp_path / "t.ttl").write_text(text)
+    ex = "http://ex.org/"
+    want = [(ex + "pear", files.RDF_TYPE, ex + "Tree", False), (ex + "pear", ex + "name", 'Pear "old"', True), (ex + "pear", ex + "name", "Birne", True), (ex + "pear", ex + "height", "3.5", True), (ex + "pear", ex + "near", "_:x", False), ("urn:b:x", ex + "tall", "true", True), ("urn:y", "urn:p", "two\nlines", True)]
+    got = files.read_turtle(spark, str(tmp_path / "t.ttl"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    named = got.where("o NOT LIKE '\\_:%'")
+    files.write_turtle(named, str(tmp_path / "out"))
+    assert sorted(map(tuple, files.read_turtle(spark, str(tmp_path / "out")).collect())) == sorted(t for t in want if not t[2].startswith("_:"))
+    with pytest.raises(ValueError):
+        files.turtle_triples("( 1 2 )")
+
+
+def test_quads_unions_and_unshared_patterns(spark, tmp_path):
+    quads = spark.createDataFrame([("urn:a", "urn:p", "urn:b", False, "urn:g"), ("urn:b", "urn:q", "x", True, None)], "s string, p string, o string, literal boolean, graph string")
+    files.write_ntriples(quads, str(tmp_path / "nq"))
+    assert sorted(map(str, files.read_ntriples(spark, str(tmp_path / "nq")).collect())) == sorted(map(str, quads.collect()))
+    both = files.union_patterns(files.basic_pattern(quads, ("?x", "urn:p", "?y")), files.basic_pattern(quads, ("?x", "urn:q", "?z")))
+    assert sorted(map(tuple, both.collect()), key=str) == [("urn:a", "urn:b", None), ("urn:b", None, "x")]
+    with pytest.raises(ValueError):
+        files.basic_pattern(quads, ("?x", "urn:p", "?y"), ("?a", "urn:q", "?b"))
+
+
+def test_edges_csv(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b", "near", 3), ("b", "c", "near", 4)], "source_id string, target_id string, label string, weight int")
+    files.write_csv(edges, str(tmp_path / "e"))
+    got = files.read_edges_csv(spark, str(tmp_path / "e")).select("src", "dst", "label", F.col("weight").cast("int").alias("weight"))
+    assert sorted(map(tuple, got.collect())) == [("a", "b", "near", 3), ("b", "c", "near", 4)]
+
+
+def test_merge_refuses_repeated_keys(spark):
+    a = spark.createDataFrame([(1, "x")], "id long, v string")
+    with pytest.raises(ValueError):
+        mutations.merge(a, spark.createDataFrame([(2, "y"), (2, "z")], "id long, v string"), ["id"])
+
+
+def test_writers_get_versions_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = mutations.VersionedTable(spark, str(tmp_path / "t"))
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(lambda k: t.commit(spark.range(k)), range(4))) == [1, 2, 3, 4]
+    assert {t.read(v).count() for v in (1, 2, 3, 4)} == {0, 1, 2, 3}
+
+
+def test_whole_numbers_near_a_boundary(spark):
+    last = 1_706_399_999_999_999_999
+    s = spark.createDataFrame([(1, "t", last, 2.0)], "entity_id long, property string, timestamp long, value double")
+    r = timeseries.warm(s).first()
+    assert (r.window_start, r.stddev, r.p50) == (1_706_399_940_000_000_000, None, None)
+    assert spark.range(1).select(scalar.timestamp_to_string(F.lit(last))).first()[0] == "2024-01-27T23:59:59Z"
+    assert spark.range(1).select(scalar.timestamp_to_string(F.lit(-1).cast("long"))).first()[0] == "1969-12-31T23:59:59Z"
+    assert timeseries.windows(s.unionAll(s.withColumn("timestamp", F.lit(7).cast("long"))), 10, "max").agg(F.max("window_start")).first()[0] == last - (last - 7) % 10
+
+
+def test_type_names_and_sizes(spark):
+    path = F.struct(F.array(F.lit(1), F.lit(2)).alias("nodes"), F.array(F.lit(9)).alias("edges"))
+    values = {"NULL": F.lit(None), "INT": F.lit(3), "FLOAT": F.lit(1.5), "STRING": F.lit("abc"), "BOOL": F.lit(True), "LIST": F.array(F.lit(1), F.lit(None)), "PATH": path, "DATE": F.current_date(), "ZONED_DATETIME": F.now(), "VECTOR": F.array(F.lit(1.0).cast("float")), "RECORD": F.struct(F.lit(1).alias("a"))}
+    r = spark.range(1).select(*[scalar.value_type(c).alias(k) for k, c in values.items()]).first()
+    assert r.asDict() == {k: k for k in values}
+    size = scalar.FUNCTIONS["size"]
+    assert tuple(spark.range(1).select(size(values["STRING"]), size(values["LIST"]), size(path), size(F.lit(None).cast("string")), size(F.array().cast("array<int>"))).first()) == (3, 2, 1, None, 0)
 
 
 def test_compaction_and_retention(spark, tmp_path):
