@@ -6,8 +6,11 @@ so fingerprints within ``distance`` bits lie within ``distance`` in the
 embedding. The segments are dealt to ``blocks`` blocks; as a distance of at most
 ``distance`` touches at most that many blocks, two linked fingerprints agree in
 all counts of ``blocks - distance`` blocks. Every choice of so many blocks gives
-one grid cell per fingerprint. Within a cell candidates pass the Manhattan bound
-over byte counts and are then verified by the exact Hamming distance.
+one cell per fingerprint of a grid of unit width in the chosen dimensions; points
+that agree in those need no neighbouring cells, of which a grid in all 32 would
+have thousands. Within a cell candidates pass the Manhattan bound over all 32
+counts and are then verified by the exact Hamming distance. More blocks make more
+and emptier cells, so their number follows the number of fingerprints.
 
 Equal fingerprints are one vertex from the start. A cell yields links that
 connect its members as the exact links do (a spanning forest), never all pairs;
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 from pgspark.llm import similar
 from pgspark.llm.common import ASCII_LOWER, SEED, components, materialise
 
-SHINGLE, DISTANCE, BLOCKS, CELL_ROWS = 4, 4, 7, 4096
+SHINGLE, DISTANCE, CELL_ROWS = 4, 4, 4096
+#: Blocks to choose from, and the candidates that chance may bring a fingerprint before more blocks are taken.
+LEAST_BLOCKS, MOST_BLOCKS, CANDIDATES = 3, 8, 32
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -76,9 +81,32 @@ def segment_counts(fp: Column) -> Column:
     return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))  # the sum of two bits, without carries between segments
 
 
-def cells(vertices: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def _edges(blocks: int) -> list[int]:
+    """Where the blocks of the 32 segments begin and end."""
+    return [round(32 * i / blocks) for i in range(blocks + 1)]
+
+
+def chance_candidates(n: int, distance: int, blocks: int) -> float:
+    """How many of ``n`` unrelated fingerprints meet one in its cells: a segment's counts agree with a chance of 3/8."""
+    sizes = [b - a for a, b in zip(_edges(blocks), _edges(blocks)[1:])]
+    return n * sum((3 / 8) ** sum(chosen) for chosen in combinations(sizes, blocks - distance))
+
+
+def blocks_for(n: int, distance: int = DISTANCE) -> int:
+    """The least number of blocks that keeps chance candidates of ``n`` fingerprints below ``CANDIDATES`` each."""
+    tried = range(distance + LEAST_BLOCKS, distance + MOST_BLOCKS + 1)
+    return next((b for b in tried if chance_candidates(n, distance, b) <= CANDIDATES), tried[-1])
+
+
+def unary_counts(bits: np.ndarray) -> np.ndarray:
+    """The embedding with the counts 0, 1, 2 as 00, 01, 11: the Manhattan distance of two is the number of bits they differ in."""
+    low = np.uint64(0x5555555555555555)
+    return ((bits | bits >> np.uint64(1)) & low) | ((bits & bits >> np.uint64(1)) & low) << np.uint64(1)
+
+
+def cells(vertices: DataFrame, distance: int, blocks: int) -> DataFrame:
     """(cell, fp, rep): a row for each vertex and choice of ``blocks - distance`` blocks."""
-    edges = [round(32 * i / blocks) for i in range(blocks + 1)]
+    edges = _edges(blocks)
     masks = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(edges, edges[1:])]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     chosen = [signed(sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - distance)]
@@ -102,15 +130,12 @@ def _forest(fps: np.ndarray, reps: np.ndarray, slices: np.ndarray | None, distan
         return x
 
     bits = np.ascontiguousarray(fps).view(np.uint64)
-    counts = np.bitwise_count(bits.view(np.uint8).reshape(n, 8)).astype(np.int8)
+    counts = unary_counts(bits)
     links = []
     step = max(1, (1 << 20) // n)
     for a in range(0, n, step):
         b = min(n, a + step)
-        bound = np.zeros((b - a, n - a), np.int16)
-        for k in range(8):
-            bound += np.abs(counts[a:b, None, k] - counts[None, a:, k])
-        i, j = np.nonzero(bound <= distance)  # the Manhattan bound
+        i, j = np.nonzero(np.bitwise_count(counts[a:b, None] ^ counts[None, a:]) <= distance)  # the Manhattan bound
         i, j = i + a, j + a
         near = (i < j) & (np.bitwise_count(bits[i] ^ bits[j]) <= distance)
         if slices is not None:
@@ -127,8 +152,9 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
 
-def links(vertices: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def links(vertices: DataFrame, distance: int = DISTANCE, blocks: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(u, v): links between representatives with the components of the exact links."""
+    blocks = blocks or blocks_for(vertices.count(), distance)
     dealt = materialise(cells(vertices, distance, blocks), "simhash-cells")
     half = cell_rows // 2
     hot = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows).select("cell", F.ceil(F.col("n") / half).cast("int").alias("k"))
@@ -165,7 +191,7 @@ def links(vertices: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, c
     return placed.mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     own = materialise(fingerprints(docs.select("doc_id", "text"), shingle), "simhash-fp")
     classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")

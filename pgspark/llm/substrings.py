@@ -6,12 +6,16 @@ rolling windows of the same length in every document probe that index. As
 ``window >= 2 * block - 1``, each repeated window holds a whole reference block
 of its earlier copy, so every repeat has an anchor. Around the anchors all
 windows of ``window`` words, of both the earlier and the later document, are
-compared exactly (by 64 hash bits and the bucket's bits of a second hash); runs
-of them are the maximal exact repeats.
+compared whole, by 64 hash bits and the bucket's bits of a second hash: two
+different windows pass for equal with a chance of 2^-(64 + bits), bits being 11 at
+least. Runs of equal windows are the hits extended to maximal repeats.
 
 Anchors, probes and windows travel packed, many to a row, to hash buckets whose
-number follows the size of the input. A window that a third of all documents
-share adds a few bytes for each of them to one bucket; no pairs are made.
+number follows the size of the input. What documents of one chunk share is
+settled in the chunk: only its smallest document asks the bucket, the others are
+answered at once. So a window that a third of all documents share adds one entry
+for each chunk of ``CHUNK_WORDS`` words to its bucket, however many documents
+hold it; no pairs are made.
 
 Defined results: a null text has no words; a row with null id neither loses
 words nor counts as an earlier document; rows of equal id do not compare with
@@ -20,7 +24,7 @@ each other; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,6 +147,24 @@ def _packed(buckets: np.ndarray, hashes: np.ndarray, docs: np.ndarray, n_buckets
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
+def _local(docs: np.ndarray, codes: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Answers found in a chunk, as a row of a bucket of their own beyond the others."""
+    bucket = n_buckets + int.from_bytes(os.urandom(3), "little") if len(docs) else None
+    row = [bucket, 0, b"", b"", codes.astype(np.uint64).tobytes(), docs.astype(np.int64).tobytes()]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    names = ["bucket", "first", "hashes", "gaps", "block_hashes", "block_docs"]
+    return pa.record_batch([pa.array([x] if len(docs) else [], k) for x, k in zip(row, kinds)], names=names)
+
+
+def _grouped(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions sorted by hash, then document; start of each hash's run; number of the run of each)."""
+    order = np.argsort(docs, kind="stable")
+    order = order[np.argsort(h[order], kind="stable")]
+    s = h[order]
+    new = np.append(True, s[1:] != s[:-1])[: len(s)]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def _docs_of(first: int, gaps: bytes, n: int) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.int64)
@@ -153,14 +175,17 @@ def _docs_of(first: int, gaps: bytes, n: int) -> np.ndarray:
     return np.cumsum(out)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Bucket by bucket of a sorted partition: hashes, documents, block hashes, block documents."""
+def _buckets(batches: Iterator[pa.RecordBatch], kind: type, n_buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bucket by bucket of a sorted partition: hashes, documents, block hashes, block documents.
+
+    From ``n_buckets`` on the last two are answers found in a chunk: codes and documents.
+    """
     now, held = None, []
 
     def gathered() -> tuple:
         hashes = [np.frombuffer(r[2], kind) for r in held]
         docs = [_docs_of(r[1], r[3], len(h)) for r, h in zip(held, hashes)]
-        return now, np.concatenate(hashes), np.concatenate(docs), np.concatenate([np.frombuffer(r[4] or b"", kind) for r in held]), np.concatenate([np.frombuffer(r[5] or b"", np.int64) for r in held])
+        return now, np.concatenate(hashes), np.concatenate(docs), np.concatenate([np.frombuffer(r[4] or b"", kind if now < n_buckets else np.uint64) for r in held]), np.concatenate([np.frombuffer(r[5] or b"", np.int64) for r in held])
 
     for batch in batches:
         for row in zip(*(batch[c].to_pylist() for c in ("bucket", "first", "hashes", "gaps", "block_hashes", "block_docs"))):
@@ -193,6 +218,7 @@ def anchors(docs: DataFrame, bits: int, block: int) -> DataFrame:
 
     The document with the smaller id is the reference. Codes hold the bucket
     and 32 bits of the hash, 32 + ``bits`` in all; the exact comparison follows.
+    A window that several documents of a chunk hold is an anchor for all of them.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +226,24 @@ def anchors(docs: DataFrame, bits: int, block: int) -> DataFrame:
         for chunk in _chunks(batches):
             at = chunk.positions(block)
             h, d = rolling(chunk.hashes, block)[at], chunk.doc_ids(at)
-            bucket, low = (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             is_block = (at - chunk.starts[chunk.of[at]]) % block == 0
-            yield _packed(bucket, low, d, 1 << bits, (bucket[is_block], low[is_block], d[is_block]))
+            h = _code(h >> np.uint64(64 - bits), h & np.uint64(0xFFFFFFFF))
+            order, runs, run = _grouped(h, d)
+            ends = np.append(runs[1:], len(order))[: len(runs)] - 1
+            many = d[order[runs]] != d[order[ends]] if len(runs) else np.zeros(0, bool)
+            yield _local(d[order[many[run]]], h[order[many[run]]], 1 << bits)
+            # The largest document stands for all that probe, the smallest with a block for all references.
+            probe, held = order[ends], order[is_block[order]]
+            held = held[np.append(True, h[held[1:]] != h[held[:-1]])[: len(held)]]
+            bucket, low = (h >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            yield _packed(bucket[probe], low[probe], d[probe], 1 << bits, (bucket[held], low[held], d[held]))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for bucket, probes, probe_docs, blocks, block_docs in _buckets(batches, np.uint32):
+            for bucket, probes, probe_docs, blocks, block_docs in _buckets(batches, np.uint32, 1 << bits):
+                if bucket >= 1 << bits:
+                    yield block_docs, blocks
+                    continue
                 if not len(blocks):
                     continue
                 known, inverse = np.unique(blocks, return_inverse=True)
@@ -260,12 +297,21 @@ def repeats(marked: DataFrame, bits: int, window: int, block: int) -> DataFrame:
                     near[a:b] = _covered(hit[::-1], window - block + 1)[::-1]
             at = chunk.positions(window)
             at = at[near[at]]
-            bucket = (second(chunk.hashes, window)[at] >> np.uint64(64 - bits)).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-            yield _packed(bucket, first(chunk.hashes, window)[at] if len(at) else np.zeros(0, np.uint64), chunk.doc_ids(at), 1 << bits)
+            if not len(at):
+                continue
+            bucket, h, d = (second(chunk.hashes, window)[at] >> np.uint64(64 - bits)).astype(np.int64), first(chunk.hashes, window)[at], chunk.doc_ids(at)
+            order, runs, run = _grouped(h, d)
+            least = order[runs]
+            later = order[d[order] > d[least][run]]
+            yield _local(d[later], h[later], 1 << bits)
+            yield _packed(bucket[least], h[least], d[least], 1 << bits)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for _, hashes, docs, _, _ in _buckets(batches, np.uint64):
+            for bucket, hashes, docs, codes, code_docs in _buckets(batches, np.uint64, 1 << bits):
+                if bucket >= 1 << bits:
+                    yield code_docs, codes
+                    continue
                 known, inverse = np.unique(hashes, return_inverse=True)
                 least = np.full(len(known), np.iinfo(np.int64).max)
                 np.minimum.at(least, inverse, docs)

@@ -69,6 +69,28 @@ def test_repeats_odd_tables(spark):
     assert sorted_rows(substrings.digest(substrings.find_repeats(clashing(df))), "doc_id", "n_removed") == plain
 
 
+def test_a_window_of_many_documents_is_settled_in_chunks(spark, monkeypatch):
+    """A passage that half of all documents hold: right at any size of chunks, and buckets get an entry for each chunk, not document."""
+    passage = " ".join(prose(80, 3))
+    texts = [f"{' '.join(prose(9, 100 + k))} {passage if k % 2 else ''} {' '.join(prose(7, 500 + k))}" for k in range(200)]
+    ids = random.Random(8).sample(range(5000), len(texts))
+    want = brute_repeats(texts, ids, 50)
+    for words_held in (300, 1 << 19):
+        monkeypatch.setattr(substrings, "CHUNK_WORDS", words_held)
+        got = substrings.digest(substrings.find_repeats(docs(spark, texts, ids).repartition(3)))
+        assert sorted_rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    h, d = np.array([5, 5, 5, 9, 5], np.uint64), np.array([4, 2, 4, 1, 3])
+    order, runs, run = substrings._grouped(h, d)
+    assert d[order].tolist() == [2, 3, 4, 4, 1] and runs.tolist() == [0, 4] and run.tolist() == [0, 0, 0, 0, 1]
+
+
+def test_long_text_with_repeats_of_itself(spark):
+    ws = prose(60_000, 5, 30)
+    texts = [" ".join(ws), " ".join(prose(100, 6) + ws[30_000:31_000])]
+    got = substrings.digest(substrings.find_repeats(docs(spark, texts)))
+    assert sorted_rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(texts, [0, 1], 50)
+
+
 def brute_fingerprint(text, size=4):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     ws = words(text)
@@ -137,6 +159,33 @@ def test_links_within_dealt_cells(spark, cell_rows, distance, blocks):
     assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, range(len(fps)), distance)
 
 
+def test_embedding_is_a_lower_bound():
+    r = np.random.default_rng(5)
+    a, b = (r.integers(0, 1 << 63, 2000, np.uint64) for _ in "ab")
+    b[:1000] = a[:1000] ^ (np.uint64(1) << r.integers(0, 64, 1000).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 1000).astype(np.uint64))
+    counts = lambda x: np.array([[bin(int(v) >> 2 * s & 3).count("1") for s in range(32)] for v in x])
+    manhattan = np.abs(counts(a) - counts(b)).sum(1)
+    assert (np.bitwise_count(simhash.unary_counts(a) ^ simhash.unary_counts(b)) == manhattan).all()
+    assert (manhattan <= np.bitwise_count(a ^ b)).all()
+
+
+def test_blocks_follow_the_number_of_fingerprints(spark):
+    """Candidates by chance stay few for each fingerprint up to tens of millions of them; the formula holds on random ones."""
+    assert [simhash.blocks_for(n) for n in (0, 1000, 500_000)] == [7, 7, 7]
+    assert all(simhash.chance_candidates(n, 4, simhash.blocks_for(n)) <= simhash.CANDIDATES for n in (10**5, 10**6, 10**7, 5 * 10**7))
+    assert simhash.chance_candidates(10**8, 4, simhash.blocks_for(10**8)) < simhash.chance_candidates(10**6, 4, 7) * 100 / 15
+    n = 20_000
+    v = spark.createDataFrame([(int(x), i) for i, x in enumerate(np.random.default_rng(2).integers(-(1 << 63), 1 << 63, n))], "fp long, rep long")
+    sizes = [r[0] for r in simhash.cells(v, 4, 7).groupBy("cell").count().where("count > 1").select("count").collect()]
+    assert sum(k * (k - 1) for k in sizes) / n == pytest.approx(simhash.chance_candidates(n, 4, 7), rel=0.25)
+
+
+def test_long_texts(spark):
+    ws = prose(150_000, 4)
+    got = simhash.digest(simhash.near_duplicates(docs(spark, [" ".join(ws), " ".join(ws[:-1]), " ".join(prose(10, 1))])))
+    assert [r[1] for r in sorted_rows(got, "doc_id", "component_id")] == [0, 0, 2]
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, k) for k in range(501, 560)] + [(900, 901), (901, 900), (7, 7)]
     got = {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
