@@ -113,13 +113,18 @@ def disclosures(docs: DataFrame, generalise_at: float = 0.8, remove_at: float =
 
 
 def term_spans(docs: DataFrame, base: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """(doc_id, text_key, more): where disclosing terms stand in documents that hold their entity."""
-    by_entity = disclosing.groupBy("entity").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
-    held = base.where("doc_id IS NOT NULL").select("doc_id", F.explode("entities").alias("entity"))
-    of_doc = held.join(by_entity, "entity").select("doc_id", F.explode("terms").alias("t")).groupBy("doc_id", "t.term").agg(F.max("t.action").alias("action"))
-    of_doc = of_doc.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "action"))).alias("terms"))
-    texts = docs.select("doc_id", F.col("text")).where(F.col("text").rlike("[0-9@]"))  # all rows with base spans have one
-    both = texts.join(of_doc, "doc_id")
+    """(doc_id, text_key, more): where disclosing terms stand in documents that hold their entity.
+
+    A document's own terms meet the disclosing ones by (entity, term), so a value
+    that a third of all documents hold brings each of them only terms that it has.
+    """
+    holds = base.where("doc_id IS NOT NULL AND size(entities) > 0").select("doc_id", "text_key", "entities")
+    texts = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")  # all rows with base spans have one
+    held = materialise(texts.join(holds, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]), "pii-held")
+    own = held.select("doc_id", "text_key", F.explode("entities").alias("entity"), _terms(F.col("text")).alias("terms")).select("doc_id", "text_key", "entity", F.explode("terms").alias("term"))
+    of_doc = own.join(disclosing.select("entity", "term", "action"), ["entity", "term"]).groupBy("doc_id", "text_key", "term").agg(F.max("action").alias("action"))
+    of_doc = of_doc.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("term", "action"))).alias("terms"))
+    both = held.select("doc_id", "text_key", "text").join(of_doc, ["doc_id", "text_key"])
     # A longer term comes first in the alternation; terms are letters and digits, so nothing needs quoting.
     listed = F.array_join(F.transform(F.sort_array(F.transform("terms", lambda t: F.struct(-F.length(t["term"]), t["term"].alias("term")))), lambda t: t["term"]), "|")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), listed, F.lit(r")(?![\p{L}\p{N}])"))
@@ -130,7 +135,7 @@ def term_spans(docs: DataFrame, base: DataFrame, disclosing: DataFrame) -> DataF
         kind = F.coalesce(F.try_element_at(action, F.lower(value)), F.lit(GENERAL))
         return F.struct(start.alias("start"), F.lit(len(BASE_KINDS)).alias("ord"), end.alias("end"), kind.alias("kind"), value.alias("value"))
 
-    return both.select("doc_id", F.xxhash64("text").alias("text_key"), placed(F.col("found"), F.col("gaps"), span).alias("more")).dropDuplicates(["doc_id", "text_key"])
+    return both.select("doc_id", "text_key", placed(F.col("found"), F.col("gaps"), span).alias("more"))
 
 
 def find(docs: DataFrame, **thresholds: float) -> DataFrame:
