@@ -7,15 +7,18 @@ DataFrame functions are used.
 
 Defined results: a null text is the empty blob; repeated rows and copies share a
 blob and each gets its findings; an empty table gives empty results; extra
-columns are ignored. A null path keeps its findings.
+columns are ignored. A null path keeps its findings. A ledger that holds a pair
+more than once counts as if it held it once.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pgspark.llm.common import SPAN, masked, materialise, native_spans, span_list
+from pgspark.llm.common import SPAN, masked, materialise, native_spans, shared_dir, span_list
 
 #: The base kinds in their listed order.
 BASE_KINDS = ["assign", "access", "hex"]
@@ -61,35 +64,40 @@ def scan_unseen(seen_versions: DataFrame, ledger: DataFrame | None = None, rule_
     Copies meet by address before the scan, within each task first, so a blob
     held by a third of all paths is scanned once and no task gets its copies.
     """
-    blobs = seen_versions.groupBy("blob_id").agg(F.first("_content").alias("_content"))
     if ledger is not None:
-        done = ledger.where(F.col("rule_version") == rule_version).select("blob_id").distinct()
-        blobs = blobs.join(done, "blob_id", "left_anti")
+        # Addresses alone say what is unseen; texts move only for those blobs.
+        done = ledger.where(F.col("rule_version") == rule_version).select("blob_id")
+        unseen = materialise(seen_versions.select("blob_id").distinct().join(done, "blob_id", "left_anti"), "unseen-blobs")
+        seen_versions = seen_versions.join(unseen, "blob_id", "left_semi")
+    blobs = seen_versions.groupBy("blob_id").agg(F.first("_content").alias("_content"))
     return blobs.select("blob_id", F.lit(rule_version).alias("rule_version"), findings_of(F.col("_content")).alias("findings"))
 
 
 def findings_by_path(seen_versions: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
     """(path, blob_id, findings): ledger rows of one rule version at every path that holds the blob."""
-    found = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob_id", "findings")
+    found = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).groupBy("blob_id").agg(F.first("findings").alias("findings"))
     return seen_versions.select("path", "blob_id").join(found, "blob_id", "left").select("path", "blob_id", F.coalesce("findings", F.array().cast(f"array<{SPAN}>")).alias("findings"))
 
 
 class BlobLedger:
-    """The ledger as a Parquet folder: ``update`` scans what is new and appends it."""
+    """The ledger as a folder of Parquet folders, one for each ``update``, which scans what is new.
+
+    Two writers at a time do not touch each other's files; what both have scanned stands in both.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def read(self) -> DataFrame:
         try:
-            return self.spark.read.schema(LEDGER).parquet(self.folder)
+            return self.spark.read.schema(LEDGER).parquet(f"{self.folder}/*")
         except Exception as e:  # an absent folder is an empty ledger
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], LEDGER)
 
     def update(self, seen_versions: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
-        scan_unseen(seen_versions, self.read(), rule_version).write.mode("append").parquet(self.folder)
+        scan_unseen(seen_versions, self.read(), rule_version).write.parquet(f"{self.folder}/{uuid.uuid4().hex}")
         return self.read()
 
 
@@ -120,4 +128,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Two rounds over one ledger: the second finds every pair scanned and only joins findings back."""
+    seen = versions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    ledger = BlobLedger(spark, f"{shared_dir(spark).rstrip('/')}/op4-ledger-{uuid.uuid4().hex}")
+    for _ in range(2):
+        found = ledger.update(seen)
+    return digest(findings_by_path(seen, found))

@@ -47,7 +47,23 @@ def test_odd_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR)
         assert docs.count() == 0
+    # The last stage returns columns ``ids`` and ``decoded``, so a table with one of these would not be one of documents.
     docs = clashing(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).drop("ids")
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR)
     assert docs.count() > 0
+
+
+def test_nulls_repeats_and_long_texts(spark):
+    """Null texts fail the quality rules; of repeated rows one stays; rows without id stay; long texts pass through whole."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    good = [r.text for r in quality.keep_good(table).limit(3).collect()]
+    long = "\n".join(f"{good[k % 3]} {k}" for k in range(400))
+    rows = [(1, good[0], None, None, None), (1, good[0], None, None, None), (None, good[1], "en", "s", 5), (2, None, "en", "s", None), (3, "", "en", "s", 0), (4, long, "en", "s", len(long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DIR)
+        kept[name] = sorted((r.doc_id for r in docs.select("doc_id").collect()), key=str)
+    assert set(kept["quality_rules"]) <= {1, 4, None} and kept["near_duplicates"] == sorted(set(kept["quality_rules"]), key=str)
+    assert kept["tokens"] == kept["secret_scans"] == kept["benchmark_leaks"]
