@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pgspark.functions.vector import cosine_similarity
 from pgspark.operators.paths import bfs
+from pgspark.plans.rounds import materialise
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -40,13 +41,16 @@ def text_search(df: DataFrame, key: str, text: str, query: str, k: int) -> DataF
     """(node_id, score): BM25 top-k over all rows.
 
     Term counts of the few query terms are taken per row without exploding the
-    text; only document frequencies and the mean length are aggregated.
+    text and written to the shared folder, so the texts are read once for the
+    statistics and the scores; only document frequencies and the mean length are
+    aggregated.
     """
     terms = sorted(set(_query_terms(query)))
     if not terms:
         return df.select(F.col(key).alias("node_id"), F.lit(0.0).alias("score")).limit(0)
     words = df.select(F.col(key).alias("node_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     counted = words.select("node_id", F.size("w").alias("n"), *[_count("w", t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = materialise(counted, "text-counts")
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)

@@ -17,10 +17,19 @@ SECOND = 1_000_000_000
 AGGREGATES = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": lambda c: F.count(c).cast("double")}
 
 
+#: Series are cut into slices of this many nanoseconds where neighbours are looked up: a series of any length is then
+#: many groups, and only a row for each of its slices meets in one.
+SLICE = 86_400 * SECOND
+
+
 def _series() -> Window:
     return Window.partitionBy(*KEYS).orderBy("timestamp")
 
 
+def _slices() -> Window:
+    return Window.partitionBy(*KEYS).orderBy("_slice")
+
+
 def value_range(samples: DataFrame, start: int, end: int) -> DataFrame:
     """Samples of [start, end], both ends included."""
     return samples.where(F.col("timestamp").between(start, end))
@@ -37,15 +46,21 @@ def value_at(samples: DataFrame, probes: DataFrame, fill: str = "locf") -> DataF
 
     ``locf`` takes the last sample at or before, ``linear`` lies between that and
     the next (locf after the last), ``none`` needs an exact one. Without history
-    there is no row. Samples and probes are one sorted stream per series, so no
-    sample meets a probe it does not answer.
+    there is no row. Samples and probes are one sorted stream per slice of a
+    series, so no sample meets a probe it does not answer; what lies beyond a
+    slice comes from the last sample before it and the first after it.
     """
     marked = samples.select(*KEYS, F.col("timestamp").alias("t"), F.col("value").alias("v"), F.lit(0).alias("probe"))
     asked = probes.select(*KEYS, F.col("at").alias("t"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("probe"))
-    before = Window.partitionBy(*KEYS).orderBy("t", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*KEYS).orderBy("t", "probe").rowsBetween(0, Window.unboundedFollowing)
+    of_slice = Window.partitionBy(*KEYS, "_slice").orderBy("t", "probe")
+    before, after = of_slice.rowsBetween(Window.unboundedPreceding, 0), of_slice.rowsBetween(0, Window.unboundedFollowing)
     own = F.when(F.col("probe") == 0, F.struct("t", "v"))
-    rows = marked.unionAll(asked).withColumn("p", F.last(own, ignorenulls=True).over(before)).withColumn("n", F.first(own, ignorenulls=True).over(after)).where("probe = 1 AND p IS NOT NULL")
+    stream = marked.unionAll(asked).withColumn("_slice", floor_to(F.col("t"), SLICE))
+    ends = stream.groupBy(*KEYS, "_slice").agg(F.max(own).alias("_last"), F.min(own).alias("_first"))
+    earlier, later = _slices().rowsBetween(Window.unboundedPreceding, -1), _slices().rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select(*KEYS, "_slice", F.last("_last", ignorenulls=True).over(earlier).alias("_earlier"), F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    inner = stream.withColumn("p", F.last(own, ignorenulls=True).over(before)).withColumn("n", F.first(own, ignorenulls=True).over(after)).where("probe = 1")
+    rows = inner.join(ends, [*KEYS, "_slice"]).withColumn("p", F.coalesce("p", "_earlier")).withColumn("n", F.coalesce("n", "_later")).where("p IS NOT NULL")
     exact = F.col("p.t") == F.col("t")
     if fill == "none":
         rows = rows.where(exact)
@@ -71,8 +86,13 @@ def aggregate(samples: DataFrame, now: int, duration: int, fn: str) -> DataFrame
     inside = value_range(samples, start, now).select(*KEYS, "timestamp", "value")
     some = inside.select(*KEYS).distinct()
     rows = inside.unionByName(held.join(some, KEYS, "left_semi"))
-    until = F.coalesce(F.lead("timestamp").over(_series()), F.lit(now))
-    weighted = rows.withColumn("w", F.col("value") * (until - F.col("timestamp")))
+    rows = rows.withColumn("_slice", floor_to(F.col("timestamp"), SLICE))
+    until = F.lead("timestamp").over(Window.partitionBy(*KEYS, "_slice").orderBy("timestamp"))
+    inner = rows.select(*KEYS, (F.col("value") * (until - F.col("timestamp"))).alias("w"))
+    # The last sample of a slice holds until the next slice's first.
+    ends = rows.groupBy(*KEYS, "_slice").agg(F.min("timestamp").alias("first"), F.max(F.struct("timestamp", "value")).alias("last"))
+    held = F.coalesce(F.lead("first").over(_slices()), F.lit(now)) - F.col("last.timestamp")
+    weighted = inner.where("w IS NOT NULL").unionAll(ends.select(*KEYS, (F.col("last.value") * held).alias("w")))
     return weighted.groupBy(*KEYS).agg((F.sum("w") / F.lit(duration)).alias("value"))
 
 
@@ -86,8 +106,12 @@ def windows(samples: DataFrame, width: int, fn: str) -> DataFrame:
 
 def gaps(samples: DataFrame, threshold: int) -> DataFrame:
     """(keys, gap_start, gap_end, duration_nanos): neighbours further apart than the threshold."""
-    rows = samples.withColumn("gap_start", F.lag("timestamp").over(_series()))
-    return rows.where(F.col("timestamp") - F.col("gap_start") > threshold).select(*KEYS, "gap_start", F.col("timestamp").alias("gap_end"), (F.col("timestamp") - F.col("gap_start")).alias("duration_nanos"))
+    rows = samples.select(*KEYS, "timestamp", floor_to(F.col("timestamp"), SLICE).alias("_slice"))
+    inner = rows.select(*KEYS, F.lag("timestamp").over(Window.partitionBy(*KEYS, "_slice").orderBy("timestamp")).alias("gap_start"), F.col("timestamp").alias("gap_end"))
+    ends = rows.groupBy(*KEYS, "_slice").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    pairs = inner.unionAll(ends.select(*KEYS, F.lag("last").over(_slices()).alias("gap_start"), F.col("first").alias("gap_end")))
+    apart = F.col("gap_end") - F.col("gap_start")
+    return pairs.where(apart > threshold).select(*KEYS, "gap_start", "gap_end", apart.alias("duration_nanos"))
 
 
 def _z(df: DataFrame, by: list[str], threshold: float) -> DataFrame:
