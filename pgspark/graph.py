@@ -59,6 +59,12 @@ class Label:
 class Graph:
     nodes: dict[str, NodeTable] = field(default_factory=dict)
     edges: dict[str, EdgeTable] = field(default_factory=dict)
+    views: dict[str, DataFrame] = field(default_factory=dict)
+
+    def view(self, name: str, **yields: str) -> Bindings:
+        """``MATCH VIEW name YIELD``: the rows of a materialised view; ``yields`` gives each new name its column."""
+        df = self.views[name]
+        return Bindings(self, df.select(*[F.col(c).alias(new) for new, c in yields.items()]) if yields else df, {})
 
     def all_nodes(self) -> DataFrame:
         """(label, id, labels): every node; ids are strings, as keys differ in type between labels."""

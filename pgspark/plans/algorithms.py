@@ -6,7 +6,7 @@ change comes to the driver, except where a docstring says so.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pgspark.plans.rounds import discard, materialise
@@ -171,6 +171,56 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("node_id"), "level")
 
 
+def _ranked(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``rank``, counted from 0 over all of them in the order of the keys: counts of ranges, then places within each."""
+    ranges = materialise(rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    offsets = materialise(counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset")), "range-offsets")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*keys)) - 1
+    return ranges.withColumn("_place", place).join(offsets, "part").withColumn("rank", F.col("offset") + F.col("_place")).drop("part", "offset", "_place")
+
+
+def topo_sort(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, position): the order of a queue that takes free nodes by id and lets each free its successors by id; a cycle is an error.
+
+    The queue empties level after level, and within a level nodes stand in the
+    order of their last predecessor's position, then of their ids.
+    """
+    levels = materialise(topo_levels(nodes, edges), "topo-levels")
+    last = levels.agg(F.max("level")).first()[0]
+    done, offset = None, 0
+    for k in range(0 if last is None else last + 1):
+        own = levels.where(F.col("level") == k).select(F.col("node_id").alias("id"))
+        if done is None:
+            rows = own.withColumn("after", F.lit(0).cast("long"))
+        else:
+            into = edges.select("src", F.col("dst").alias("id")).join(own, "id").join(done.select(F.col("node_id").alias("src"), "position"), "src")
+            rows = into.groupBy("id").agg(F.max("position").alias("after"))
+        placed = materialise(_ranked(rows, "after", "id").select(F.col("id").alias("node_id"), (F.col("rank") + offset).alias("position")), "topo-positions")
+        offset += placed.count()
+        done = placed if done is None else done.unionAll(placed)
+    return done if done is not None else levels.select("node_id", F.lit(0).cast("long").alias("position"))
+
+
+class Projections:
+    """Named projections of a session: ``project`` keeps one, ``drop`` forgets it."""
+
+    def __init__(self):
+        self.held: dict[str, tuple[DataFrame, DataFrame]] = {}
+
+    def project(self, name: str, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        self.held[name] = project(nodes, edges)
+        return self.held[name]
+
+    def drop(self, name: str) -> bool:
+        return self.held.pop(name, None) is not None
+
+    def list(self, spark: SparkSession) -> DataFrame:
+        """(name, node_count, edge_count)."""
+        rows = [(name, n.count(), e.count()) for name, (n, e) in sorted(self.held.items())]
+        return spark.createDataFrame(rows, "name string, node_count long, edge_count long")
+
+
 def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, component_id): strongly connected components, named by their smallest node.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pgspark.graph import Graph
@@ -187,6 +187,20 @@ def property_history(versions: DataFrame, start: int | None = None, end: int | N
     return out if end is None else out.where(F.col("superseded_at") <= end)
 
 
+def history(current: DataFrame, versions: DataFrame, nodes: DataFrame | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """(node_id, change_type, key, old_value, new_value, timestamp): every change of a property, of ``nodes(node_id)`` or of all.
+
+    ``current`` and ``versions`` are as in ``property_at``; a change is ``set``, or ``removed`` where no value followed.
+    """
+    rows = versions.select("node_id", "key", "value", F.col("superseded_at").alias("at")).unionByName(current.select("node_id", "key", "value", F.lit(None).cast("long").alias("at")))
+    rows = rows if nodes is None else rows.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
+    follows = F.lead("value").over(Window.partitionBy("node_id", "key").orderBy(F.col("at").asc_nulls_last(), "value"))
+    out = rows.withColumn("new_value", follows).where("at IS NOT NULL")
+    out = out if start is None else out.where(F.col("at") >= start)
+    out = out if end is None else out.where(F.col("at") <= end)
+    return out.select("node_id", F.when(F.col("new_value").isNull(), "removed").otherwise("set").alias("change_type"), "key", F.col("value").alias("old_value"), "new_value", F.col("at").alias("timestamp"))
+
+
 def merge_last_write(*sides: DataFrame, keys: tuple[str, ...] = ("node_id", "key")) -> DataFrame:
     """(keys, value): per property the value with the latest clock; of equal clocks the first side wins."""
     marked = _union([s.select(*keys, "value", "clock", F.lit(-i).alias("_side")) for i, s in enumerate(sides)])

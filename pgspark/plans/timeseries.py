@@ -177,6 +177,12 @@ def full_range(hot: DataFrame, cold: DataFrame, start: int, end: int) -> DataFra
     return rows.groupBy(*KEYS, "timestamp").agg(F.max_by("value", "_tier").alias("value"))
 
 
+def upsert(samples: DataFrame, observations: DataFrame) -> DataFrame:
+    """Samples and new observations; of equal series and time the observation stays, of several of one side the largest."""
+    rows = samples.select(*KEYS, "timestamp", "value", F.lit(0).alias("_new")).unionAll(observations.select(*KEYS, "timestamp", "value", F.lit(1).alias("_new")))
+    return rows.groupBy(*KEYS, "timestamp").agg(F.max(F.struct("_new", "value")).alias("_s")).select(*KEYS, "timestamp", "_s.value")
+
+
 def ingest(samples: DataFrame, tolerance: int = 5 * SECOND, arrival: str = "arrival") -> DataFrame:
     """What a series keeps: late samples beyond the tolerance go, then repeats of the value before."""
     so_far = F.max("timestamp").over(Window.partitionBy(*KEYS).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))

@@ -299,6 +299,13 @@ def otherwise_not_taken(spark, d):
     return rows.otherwise(*_ab(spark, d))
 
 
+@query("SELECT n_name AS nation, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) > 5")
+def view_scan(spark, d):
+    g = graph(spark, d)
+    g.views["by_nation"] = expand_1hop(spark, d).groupBy("nation").agg(F.count(F.lit(1)).alias("n"))
+    return g.view("by_nation", nation="nation", customers="n").where("customers > 5").df
+
+
 # -- expressions -------------------------------------------------------------------
 
 
@@ -579,6 +586,12 @@ def scc(spark, d):
     return algorithms.scc(nodes, edges.select("src", "dst").unionAll(back))
 
 
+@query("SELECT id AS node_id, row_number() OVER (ORDER BY level, r, n, id) - 1 AS position FROM (SELECT r_regionkey::BIGINT + 1000 AS id, 0 AS level, r_regionkey AS r, 0 AS n FROM region UNION ALL SELECT n_nationkey::BIGINT + 2000, 1, n_regionkey, n_nationkey FROM nation UNION ALL SELECT s_suppkey + 10000, 2, n_regionkey, n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE level > 0 OR r IN (SELECT n_regionkey FROM nation)")
+def topo_sort(spark, d):
+    edges = _contains(spark, d)
+    return algorithms.topo_sort(ends(edges), edges)
+
+
 @query()
 def label_propagation(spark, d):
     return algorithms.label_propagation(*sells_with(spark, d), rounds=5)
@@ -694,6 +707,12 @@ def ts_full_range(spark, d):
     return ts.full_range(s.where("entity_id % 2 = 0").withColumn("value", F.col("value") + 1), s, NOW - DAY, NOW)
 
 
+@query(f"SELECT entity_id, property, timestamp, max(CASE WHEN property = 'click' THEN value + 1 ELSE value END) AS value FROM {_S} GROUP BY ALL")
+def observation_upsert(spark, d):
+    s = samples(spark, d)
+    return ts.upsert(s, s.where("property = 'click'").withColumn("value", F.col("value") + 1))
+
+
 # -- vectors and texts -------------------------------------------------------------
 
 _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
@@ -876,6 +895,11 @@ def property_history(spark, d):
     return catalog.property_history(_versions(spark, d)[1], NOW - DAY, NOW)
 
 
+@query(f"WITH {_VERSIONS}, h AS (SELECT *, lead(value) OVER (PARTITION BY node_id, key ORDER BY superseded_at NULLS LAST, value) AS new_value FROM v) SELECT node_id, 'set' AS change_type, key, value AS old_value, new_value, superseded_at AS timestamp FROM h WHERE superseded_at BETWEEN {NOW - 2 * DAY} AND {NOW}")
+def graph_history(spark, d):
+    return catalog.history(*_versions(spark, d), start=NOW - 2 * DAY, end=NOW)
+
+
 @query("SELECT s_suppkey AS node_id, 'balance' AS key, CASE WHEN s_suppkey % 3 >= s_suppkey % 2 THEN s_acctbal ELSE -1.0 END AS value FROM supplier")
 def merge_last_write(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.lit("balance").alias("key"), F.col("s_acctbal").alias("value"))

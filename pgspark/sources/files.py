@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,6 +187,45 @@ def union_patterns(*found: DataFrame) -> DataFrame:
     return out
 
 
+# -- changes of triples: the writes of SPARQL UPDATE as new versions of the table -------
+
+
+def insert_triples(triples: DataFrame, rows: DataFrame) -> DataFrame:
+    """INSERT DATA: a triple is held once."""
+    return triples.unionByName(rows).distinct()
+
+
+def delete_triples(triples: DataFrame, rows: DataFrame) -> DataFrame:
+    """DELETE DATA; ``triples.limit(0)`` is CLEAR."""
+    return triples.join(rows, ["s", "p", "o", "literal"], "left_anti")
+
+
+def filled(bindings: DataFrame, *templates: tuple[str, str, str, bool]) -> DataFrame:
+    """The triples of templates (s, p, o, whether o is a literal) for all bindings; terms that begin with ``?`` are variables."""
+    term = lambda t: F.col(t[1:]) if t.startswith("?") else F.lit(t)
+    one = [F.struct(term(s).alias("s"), term(p).alias("p"), term(o).alias("o"), F.lit(literal).alias("literal")) for s, p, o, literal in templates]
+    return bindings.select(F.explode(F.array(*one)).alias("t")).select("t.*").where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").distinct()
+
+
+def delete_insert_where(triples: DataFrame, bindings: DataFrame, gone: list[tuple] = (), new: list[tuple] = ()) -> DataFrame:
+    """DELETE ... INSERT ... WHERE: both sides see the state before."""
+    left = delete_triples(triples, filled(bindings, *gone)) if gone else triples
+    return insert_triples(left, filled(bindings, *new)) if new else left
+
+
+def arrow_streams(df: DataFrame) -> DataFrame:
+    """(stream): the rows as Arrow IPC streams, one for each batch of a task, for readers outside Spark."""
+
+    def run(batches):
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b)
+            yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["stream"])
+
+    return df.mapInArrow(run, "stream binary")
+
+
 # -- time series -----------------------------------------------------------------------
 
 

@@ -327,6 +327,73 @@ def test_quads_unions_and_unshared_patterns(spark, tmp_path):
         files.basic_pattern(quads, ("?x", "urn:p", "?y"), ("?a", "urn:q", "?b"))
 
 
+def test_topological_order_of_a_queue(spark):
+    import random
+    from collections import deque
+
+    for seed in range(2):
+        r = random.Random(seed)
+        edges = [(a, b) for a, b in ((r.randrange(25), r.randrange(25)) for _ in range(45)) if a < b] + [(0, 24), (0, 24)]
+        into = {n: sum(b == n for _, b in edges) for n in range(25)}
+        queue, want = deque(sorted(n for n in into if not into[n])), []
+        while queue:
+            n = queue.popleft()
+            want.append(n)
+            for m in sorted(b for a, b in edges if a == n):
+                into[m] -= 1
+                if not into[m]:
+                    queue.append(m)
+        n, e = graph_of(spark, range(25), edges)
+        assert [x.node_id for x in algorithms.topo_sort(n, e).orderBy("position").collect()] == want
+
+
+def test_projections_by_name(spark):
+    n, e = graph_of(spark, [1, 2, 3], [(1, 2), (2, 9)])
+    p = algorithms.Projections()
+    p.project("a", n, e)
+    assert [tuple(r) for r in p.list(spark).collect()] == [("a", 3, 1)]
+    assert p.drop("a") and not p.drop("a") and p.list(spark).count() == 0
+
+
+def test_updates_of_triples(spark):
+    t = spark.createDataFrame([("a", "age", "3", True), ("b", "age", "4", True), ("a", "near", "b", False)], "s string, p string, o string, literal boolean")
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    assert got(files.insert_triples(t, t.limit(1))) == got(t)
+    assert got(files.delete_triples(t, t.where("s = 'a'"))) == [("b", "age", "4", True)]
+    found = files.basic_pattern(t, ("?x", "age", "?n"))
+    moved = files.delete_insert_where(t, found, [("?x", "age", "?n", True)], [("?x", "years", "?n", True), ("?x", "kind", "old", False)])
+    assert got(moved) == sorted([("a", "near", "b", False), ("a", "years", "3", True), ("b", "years", "4", True), ("a", "kind", "old", False), ("b", "kind", "old", False)])
+
+
+def test_arrow_streams(spark):
+    import pyarrow as pa
+
+    rows = [r for x in files.arrow_streams(spark.range(100).repartition(3)).collect() for r in pa.ipc.open_stream(x.stream).read_all()["id"].to_pylist()]
+    assert sorted(rows) == list(range(100))
+
+
+def test_long_series_across_slices(spark):
+    """Neighbours several slices apart, against one sorted list."""
+    import random
+
+    r, day = random.Random(4), 86_400_000_000_000
+    times = sorted(r.sample(range(40 * 24), 60))
+    rows = [(1, "t", t * day // 24, float(i)) for i, t in enumerate(times)]
+    s = spark.createDataFrame(rows, "entity_id long, property string, timestamp long, value double")
+    probes = spark.createDataFrame([(1, "t", k * day // 3) for k in range(150)], "entity_id long, property string, at long")
+    want = []
+    for k in range(150):
+        at = k * day // 3
+        p = max((x[2:] for x in rows if x[2] <= at), default=None)
+        n = min((x[2:] for x in rows if x[2] >= at), default=None)
+        if p is not None:
+            want.append((at, p[1] if n is None or p[0] == at else p[1] + (n[1] - p[1]) * (at - p[0]) / (n[0] - p[0])))
+    got = sorted((x["at"], x.value) for x in timeseries.value_at(s, probes, "linear").collect())
+    assert [a for a, _ in got] == [a for a, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want])
+    gaps = [(a[2], b[2]) for a, b in zip(rows, rows[1:]) if b[2] - a[2] > day]
+    assert sorted((x.gap_start, x.gap_end) for x in timeseries.gaps(s, day).collect()) == gaps
+
+
 def test_edges_csv(spark, tmp_path):
     edges = spark.createDataFrame([("a", "b", "near", 3), ("b", "c", "near", 4)], "source_id string, target_id string, label string, weight int")
     files.write_csv(edges, str(tmp_path / "e"))
